@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -38,17 +37,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished queries."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads it back: lineage is cut, lost executors cost no rework."""
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    release(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # a written table needs its shuffle files no longer
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out

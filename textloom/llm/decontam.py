@@ -27,6 +27,8 @@ WINDOW = 10
 #: Windows in one broadcast block of the benchmark.
 BLOCK_WINDOWS = 100_000
 SAMPLE = 32
+#: Bytes of text in a shard.
+SHARD = 4 << 20
 
 
 class Phrases:
@@ -202,7 +204,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in T.slices(batches):
+        for b in T.slices(batches, max_bytes=SHARD):
             w = T.words_of(b.column("text"), T.ALNUM_WORDS)
             hit, items = find(w, blocks)
             count = np.concatenate([[0], np.cumsum(hit)])[w.first]
@@ -223,7 +225,7 @@ def remove_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFr
     blocks = load_blocks(spark, benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in T.slices(batches):
+        for b in T.slices(batches, max_bytes=SHARD):
             col = b.column("text")
             w = T.words_of(col, T.ALNUM_WORDS)
             hit, _ = find(w, blocks)

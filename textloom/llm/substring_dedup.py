@@ -35,7 +35,7 @@ DEPTHS = (1, 2, 4, 8)
 BINS = 4096
 #: Suffixes that a group may hold, and that a block of documents gathers before it deals them out.
 GROUP = 1 << 20
-BLOCK = 4 << 20
+BLOCK = 3 << 19
 
 
 def _bins(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -65,7 +65,7 @@ def plan_groups(rows: list, size: int) -> tuple[np.ndarray, int, int]:
     n = np.zeros((len(DEPTHS), BINS), np.int64)
     for r in rows:
         n[r.depth, r.bin] = r.n
-    group = np.full(n.shape, -1, np.int64)
+    group = np.full(n.shape, -1, np.int32)
     filled, g = 0, 0
     for d, x in sorted(zip(*np.nonzero((n > 0) & (n <= size)), strict=True)):
         if filled and filled + n[d, x] > size:
@@ -81,14 +81,15 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, k: int = K, group_siz
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        n = block = 0
+        n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, n, block
+            nonlocal held, n
             path, doc, gid = (np.concatenate(x) for x in zip(*held, strict=True))
-            held, n, block = [], 0, block + 1
+            held, n = [], 0
             by = np.argsort(path)
             path, doc, gid = path[by], doc[by], gid[by]
+            del by
             at, size = T.runs(path)
             least = np.minimum.reduceat(doc, at)
             lost = doc > np.repeat(least, size)
@@ -118,10 +119,10 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, k: int = K, group_siz
                 continue
             h = w.hashes()
             path = T.window_hashes(h, k)[at]
-            gid = np.full(len(at), -1, np.int64)
+            gid = np.full(len(at), -1, np.int32)
             for i, x in enumerate(_bins(h, at)):
                 gid = np.where(gid < 0, table[i][x], gid)
-            gid = np.where(gid < 0, packed + (path % T.U(whole)).astype(np.int64), gid)
+            gid = np.where(gid < 0, packed + (path % T.U(whole)).astype(np.int32), gid)
             held.append((path, T.ids_of(b.column("key"), NULL_ID)[doc], gid))
             n += len(at)
             if n >= BLOCK:

@@ -119,7 +119,7 @@ def inner_windows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), doc
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each has about max_bytes of text at most, or one text."""
     for batch in batches:
         if not batch.num_rows:
