@@ -1,21 +1,19 @@
 """N-gram Jaccard self-join by vertical partitioning, and the components of its links.
 
-The set of a document is its distinct word n-grams, as 64-bit hashes; the global n-gram order is the order of these
-hashes. The order is cut vertically into fragments in two ways.
-
-Candidates: for sets of a length class the order is cut into m fragments, with m larger than the greatest symmetric
-difference D that the threshold allows there. Of m fragments at most D can differ, so a similar pair has m - D
-fragments in which both hold exactly the same n-grams. Each fragment of each set therefore gives one signature; sets
-that share a signature are candidates. Fragments that hold only n-grams of many documents (hot passages) or none
-would gather unrelated documents, and are left out of the signatures of every set with at most m - D - 1 such
-fragments, which loses no pair; the others also give those, marked, since two such sets can meet nowhere else.
-Which n-grams are hot is counted over all documents; any choice gives the same links.
-
-Verification: the order is cut into FRAGMENTS parts; for each candidate pair the overlap is counted separately in
-each part, and the parts are summed per pair.
-
-No group is expanded into all its pairs. Sets of a bucket are first paired with one centre; verified links are
-contracted to components; then only pairs of a bucket whose members lie in different components remain, which are
+The set of a document is its distinct word n-grams, as 64-bit hashes. The hash order is cut vertically into fragments,
+each with a bounded number of n-grams: all documents' sets are cut by the same limits, and a task takes a fragment.
+
+Candidates: a fragment counts, over all documents, the sets that hold each of its n-grams. That gives the global order,
+rarest first. Two similar sets share an n-gram among the rarest (1 - threshold) part of each, their prefixes; n-grams
+of one set alone can't be shared, so only sets with nearly all n-grams repeated elsewhere go on, with the few repeated
+n-grams of their prefix. N-grams that many documents of a block hold (hot passages) are put last in the order without
+a count and don't pass through a fragment; any order that is the same for all sets gives the same links.
+
+Verification: the sets of candidates are cut into FRAGMENTS parts of the order; for each pair the overlap is counted
+separately in each part, and the parts are summed per pair.
+
+No group is expanded into all its pairs. Sets that share a prefix n-gram are first paired with one centre; verified links are
+contracted to components; then only pairs with a shared prefix n-gram whose members lie in different components remain, which are
 all tested. So a group of n copies costs n tests, and no link between components is lost.
 
 Null and empty texts have an empty set and link with nothing. Texts of fewer than n words have one n-gram, the whole
@@ -36,40 +34,13 @@ from . import textops as T
 from .common import NULL_ID, connected_components, drop_path, materialize
 
 FRAGMENTS = 4
-#: n-grams that a block of documents gathers; signatures in a group of buckets.
+#: n-grams that a block of documents gathers, and that a fragment holds.
 BLOCK = 3 << 19
 GROUP = 1 << 20
 #: An n-gram is hot if so many documents of a block hold it, and so large a part of them.
 HOT_DOCS, HOT_PART, MAX_HOT = 32, 0.01, 1_000_000
 
 
-class Threshold:
-    """Jaccard >= num / den."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.low = [1]
-        while self.low[-1] < 1 << 40:
-            self.low.append(max(self.low[-1] + 1, self.low[-1] * 3 // 2))
-        self.low = np.array(self.low, np.int64)
-        top = self.low[1:] - 1
-        partner = top * den // num
-        self.differ = top + partner - 2 * -(-num * (top + partner) // (num + den))
-        self.spare = self.differ * 8 // 100 + 1
-        self.fragments = self.differ + 1 + self.spare
-
-    def classes(self, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (positions, class): each set in its own class, and in each lower class that can hold a similar set."""
-        own = np.searchsorted(self.low, n, side="right") - 1
-        least = -(-n * self.num // self.den)
-        out, some, c = [], np.arange(len(n)), own
-        while len(some):
-            out.append((some, c))
-            go = (c > 0) & (self.low[c] - 1 >= least[some])
-            some, c = some[go], c[go] - 1
-        return out
-
-
 def ngram_sets(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each document, ascending, one document after another, and their limits."""
     w = T.words_of(b.column("text"))
@@ -124,127 +95,144 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fp long, hot boolean")
 
 
-def signatures(grams: np.ndarray, off: np.ndarray, hot: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Signature and set number, for all non-empty sets."""
-    n = np.diff(off)
-    live = np.flatnonzero(n)
-    if not len(live):
-        return np.zeros(0, T.U), np.zeros(0, np.int64)
-    cold = np.ones(len(grams), bool)
-    if len(hot):
-        cold = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] != grams
-    value, high = T.mix(grams ^ T.U(0x2545F4914F6CDD1D)), grams >> T.U(32)
-    sigs, sets = [], []
-    for some, c in t.classes(n[live]):
-        doc = live[some]
-        size, m = n[doc], t.fragments[c]
-        which = np.repeat(np.arange(len(doc)), size)
-        at = np.repeat(off[doc] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        frag = ((high[at] * np.repeat(m, size).astype(T.U)) >> T.U(32)).astype(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (frag[1:] != frag[:-1])]))
-        body = np.add.reduceat(value[at], start)
-        warm = ~np.logical_or.reduceat(cold[at], start)
-        d, f = which[start], frag[start]
-        unsafe = m - np.bincount(d[~warm], minlength=len(doc)) > t.spare[c]
-        salt = T.mix(c.astype(T.U) * T.U(0x9E3779B97F4A7C15) + T.U(7))
-        key = T.mix(body + T.mix(salt[d] + f.astype(T.U)))
-        keep = ~warm | unsafe[d]
-        sigs.append(np.where(warm, T.mix(key), key)[keep])
-        sets.append(doc[d][keep])
-        for i in np.flatnonzero(unsafe).tolist():  # the fragments without any n-gram
-            empty = np.setdiff1d(np.arange(m[i]), f[d == i], assume_unique=True)
-            sigs.append(T.mix(T.mix(salt[i] + empty.astype(T.U)) ^ T.U(0xDEADBEEF)))
-            sets.append(np.full(len(empty), doc[i]))
-    return np.concatenate(sigs), np.concatenate(sets)
-
-
-def buckets(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, hot: np.ndarray, groups: int) -> DataFrame:
-    """sig, node, n, centre of every signature that two vertices share."""
+def fragments_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Which of so many equal cuts of the global order an n-gram lies in."""
+    return (((h >> T.U(32)) * T.U(parts)) >> T.U(32)).astype(np.int64)
+
+
+def prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of two similar sets, both have an n-gram of the other among so many of their rarest."""
+    return n + (-n * num) // den + 1
+
+
+def prefixes(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray, groups: int, buckets: int) -> DataFrame:
+    """sig, node, n, most: the n-grams of each vertex's prefix that another vertex may hold; the vertex shares ``most`` n-grams with others, by the greatest of its rows."""
     shared = spark.sparkContext.broadcast(hot)
+    names3 = ["gid", "keys", "nodes"]
+
+    def rows_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(out), 200):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 200], strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names3)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, seen = [], 0, {}
+        held, direct, total, seen = [], [], 0, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, node = (np.concatenate(x) for x in zip(*held, strict=True))
             names = np.fromiter(seen, T.U, len(seen))
-            size = np.fromiter(seen.values(), np.int64, len(seen))
-            by = np.lexsort((names[node], sig))
-            sig, node = sig[by], node[by]
-            at, many = T.runs(sig)
-            out: list[tuple] = []
-            first = np.zeros(len(sig), bool)
-            first[at] = True
-            rest = np.flatnonzero(~first)  # those stay out of the groups: their bucket is known to be shared
-            centre = np.repeat(node[at], many)
-            for i in range(0, len(rest), 1 << 16):
-                r = rest[i : i + (1 << 16)]
-                out.append((-1 - int(sig[r[0]] % T.U(997)), sig[r].tobytes(), names[node[r]].tobytes() + size[node[r]].tobytes() + names[centre[r]].tobytes()))
-            sig, node = sig[at], node[at] * 2 + (many > 1)
-            gid = (sig % T.U(groups)).astype(np.int64)
-            by = np.argsort(gid, kind="stable")
-            sig, node, gid = sig[by], node[by], gid[by]
-            at, many = T.runs(gid)
-            for a, m in zip(at.tolist(), many.tolist(), strict=True):
+            info = np.array(list(seen.values()), np.int64).reshape(-1, 2)
+            by = np.argsort(key)
+            key, node = key[by], node[by]
+            at, many = T.runs(fragments_of(key, groups))
+            out = []
+            for g, a, m in zip(fragments_of(key[at], groups).tolist(), at.tolist(), many.tolist(), strict=True):
                 mine, index = np.unique(node[a : a + m], return_inverse=True)
-                out.append((int(gid[a]), T.pack_sorted(sig[a : a + m]), names[mine // 2].tobytes() + (size[mine // 2] * 2 + mine % 2).tobytes() + index.astype("<u4").tobytes() + len(mine).to_bytes(8, "little")))
-            for i in range(0, len(out), 200):
-                g, s, d = zip(*out[i : i + 200], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(s, pa.binary()), pa.array(d, pa.binary())], names=["gid", "sigs", "nodes"])
+                body = names[mine].tobytes() + info[mine].tobytes() + index.astype("<u2" if len(mine) < 1 << 16 else "<u4").tobytes()
+                out.append((g, T.pack_sorted(key[a : a + m]), body + len(mine).to_bytes(8, "little")))
+            if direct:
+                sig, d = np.concatenate([x for x, _ in direct]), np.concatenate([y for _, y in direct])
+                out.append((-1 - int(sig[0] % T.U(997)), sig.tobytes(), names[d].tobytes() + info[d].tobytes()))
+            yield from rows_of(out)
 
         for b in T.slices(batches):
             grams, off = ngram_sets(b, k)
             fp = fingerprints(grams, off)
-            size, number, keep = np.diff(off), {}, []
+            size, keep = np.diff(off), []
+            base = len(seen)
+            warm = np.zeros(len(grams), bool)
+            if len(shared.value):
+                warm = shared.value[np.minimum(np.searchsorted(shared.value, grams), len(shared.value) - 1)] == grams
+            warm_n = np.concatenate([[0], np.cumsum(warm)])[off]
             for i, x in enumerate(fp.tolist()):
                 if x and x not in seen:
-                    number[len(keep)] = len(seen)
-                    seen[x] = int(size[i])
+                    seen[x] = (int(size[i]), int(warm_n[i + 1] - warm_n[i]))
                     keep.append(i)
             if not keep:
                 continue
-            mine = np.concatenate([grams[off[i] : off[i + 1]] for i in keep])
-            limits = np.concatenate([[0], np.cumsum(size[keep])])
-            sig, doc = signatures(mine, limits, shared.value, t)
-            held.append((sig, doc + number[0]))
-            total += len(mine)
+            which = np.full(len(fp), -1, np.int64)
+            which[keep] = base + np.arange(len(keep))
+            doc = np.repeat(which, size)
+            cold = ~warm & (doc >= 0)
+            held.append((grams[cold], doc[cold]))
+            # a prefix reaches the hot n-grams, the last of the order, if the others are fewer than it is long
+            n, w = size[keep], np.diff(warm_n)[keep]
+            more = prefix_size(n, num, den) - (n - w)
+            for i, m in zip(np.array(keep)[more > 0].tolist(), more[more > 0].tolist(), strict=True):
+                mine = grams[off[i] : off[i + 1]][warm[off[i] : off[i + 1]]][:m]
+                direct.append((mine, np.full(len(mine), which[i])))
+            total += int(size[keep].sum())
             if total >= BLOCK:
                 yield from flush()
-                held, total, seen = [], 0, {}
+                held, direct, total, seen = [], [], 0, {}
         if held:
             yield from flush()
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        sigs, nodes, sizes, marks, centres = [], [], [], [], []
-        for s, d in zip(table.column("sigs").to_pylist(), table.column("nodes").to_pylist(), strict=True):
-            if key[0].as_py() < 0:
-                n = len(s) // 8
-                sigs.append(np.frombuffer(s, T.U))
-                x = np.frombuffer(d, T.U)
-                nodes.append(x[:n])
-                sizes.append(x[n : 2 * n].view(np.int64))
-                centres.append(x[2 * n :])
-                continue
+        """Counts the vertices of each n-gram of a fragment and sends those of two or more to their vertices' buckets."""
+        if key[0].as_py() < 0:
+            return table.select(names3)
+        grams, nodes, infos = [], [], []
+        for g, d in zip(table.column("keys").to_pylist(), table.column("nodes").to_pylist(), strict=True):
             n = int.from_bytes(d[-8:], "little")
-            index = np.frombuffer(d[16 * n : -8], "<u4")
-            sigs.append(T.unpack_sorted(s))
+            index = np.frombuffer(d[24 * n : -8], "<u2" if n < 1 << 16 else "<u4")
+            grams.append(T.unpack_sorted(g))
             nodes.append(np.frombuffer(d[: 8 * n], T.U)[index])
-            size = np.frombuffer(d[8 * n : 16 * n], np.int64)[index]
-            sizes.append(size // 2)
-            marks.append(size % 2 == 1)
-        sig, node, size = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(sizes)
-        if key[0].as_py() < 0:
-            centre = np.concatenate(centres)
-        else:
-            by = np.lexsort((node, sig))
-            sig, node, size, mark = sig[by], node[by], size[by], np.concatenate(marks)[by]
-            at, many = T.runs(sig)
-            keep = np.repeat((node[at] != node[at + many - 1]) | np.logical_or.reduceat(mark, at), many)
-            centre = np.repeat(node[at], many)[keep]
-            sig, node, size = sig[keep], node[keep], size[keep]
-        return pa.table({"sig": pa.array(sig.view(np.int64)), "node": pa.array(node.view(np.int64)), "n": pa.array(size), "centre": pa.array(centre.view(np.int64))})
-
-    return docs.select("text").mapInArrow(deal, "gid long, sigs binary, nodes binary").groupBy("gid").applyInArrow(meet, "sig long, node long, n long, centre long")
+            infos.append(np.frombuffer(d[8 * n : 24 * n], np.int64).reshape(-1, 2)[index].astype(np.int32))
+        gram, node, info = np.concatenate(grams), np.concatenate(nodes), np.concatenate(infos)
+        by = np.lexsort((node, gram))
+        gram, node = gram[by], node[by]
+        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
+        gram, node, info = gram[new], node[new], info[by[new]]
+        at, many = T.runs(gram)
+        count = np.repeat(many, many)
+        some = count > 1
+        gram, node, info, count = gram[some], node[some], info[some], np.minimum(count[some], 65535)
+        bucket = (node % T.U(buckets)).astype(np.int64)
+        by = np.lexsort((node, bucket))
+        gram, node, info, count, bucket = gram[by], node[by], info[by], count[by], bucket[by]
+        out = []
+        for a, m in zip(*(x.tolist() for x in T.runs(bucket)), strict=True):
+            part = slice(a, a + m)
+            first, times = T.runs(node[part])
+            head = node[part][first].tobytes() + info[part][first].tobytes() + times.astype("<i4").tobytes()
+            out.append((int(bucket[a]), gram[part].tobytes() + count[part].astype("<u2").tobytes(), head + len(first).to_bytes(8, "little")))
+        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(names3, (pa.int64(), pa.binary(), pa.binary()), strict=True))})
+
+    def cut(key: tuple, table: pa.Table) -> pa.Table:
+        """Puts the n-grams of each vertex in order, rarest first, and keeps those of the prefix."""
+        sigs, nodes, sizes, warm, counts = [], [], [], [], []
+        for g, d in zip(table.column("keys").to_pylist(), table.column("nodes").to_pylist(), strict=True):
+            if key[0].as_py() < 0:
+                n = len(g) // 8
+                sigs.append(np.frombuffer(g, T.U))
+                nodes.append(np.frombuffer(d[: 8 * n], T.U))
+                info = np.frombuffer(d[8 * n :], np.int64).reshape(-1, 2)
+                sizes.append(info[:, 0])
+                warm.append(info[:, 1])
+                continue
+            n, m = int.from_bytes(d[-8:], "little"), len(g) // 10
+            info = np.frombuffer(d[8 * n : 16 * n], np.int32).reshape(-1, 2)
+            times = np.frombuffer(d[16 * n : 20 * n], "<i4")
+            sigs.append(np.frombuffer(g[: 8 * m], T.U))
+            counts.append(np.frombuffer(g[8 * m :], "<u2"))
+            nodes.append(np.repeat(np.frombuffer(d[: 8 * n], T.U), times))
+            sizes.append(np.repeat(info[:, 0], times))
+            warm.append(np.repeat(info[:, 1], times))
+        sig, node, n, w = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(sizes).astype(np.int64), np.concatenate(warm).astype(np.int64)
+        most = w
+        if key[0].as_py() >= 0:
+            by = np.lexsort((sig, np.concatenate(counts), node))
+            sig, node, n, w = sig[by], node[by], n[by], w[by]
+            at, many = T.runs(node)
+            rank = np.arange(len(node)) - np.repeat(at, many)
+            alone = n - w - np.repeat(many, many)
+            keep = rank < prefix_size(n, num, den) - alone
+            sig, node, n, most = sig[keep], node[keep], n[keep], (n - alone)[keep]
+        return pa.table({"sig": pa.array(sig.view(np.int64)), "node": pa.array(node.view(np.int64)), "n": pa.array(n), "most": pa.array(most)})
+
+    three = "gid long, keys binary, nodes binary"
+    dealt = docs.select("text").mapInArrow(deal, three)
+    return dealt.groupBy("gid").applyInArrow(meet, three).groupBy("gid").applyInArrow(cut, "sig long, node long, n long, most long")
 
 
 def segments(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -267,7 +255,7 @@ def segments(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return keyed.join(wanted, "key").select("node", "text").mapInArrow(run, "node long, frag int, n long, grams binary")
 
 
-def verified(pairs: DataFrame, parts: DataFrame, t: Threshold) -> DataFrame:
+def verified(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b, and what else they have) whose Jaccard similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,40 +271,55 @@ def verified(pairs: DataFrame, parts: DataFrame, t: Threshold) -> DataFrame:
     # max before the sum: a set that came in twice counts once
     summed = partial.groupBy(*keep, "na", "nb").agg(*(F.max(F.when(F.col("frag") == f, F.col("both"))).alias(f"o{f}") for f in range(FRAGMENTS)))
     overlap: Column = sum((F.coalesce(F.col(f"o{f}"), F.lit(0)) for f in range(FRAGMENTS)), F.lit(0))
-    return summed.where(t.den * overlap >= t.num * (F.col("na") + F.col("nb") - overlap)).select(*keep)
+    return summed.where(den * overlap >= num * (F.col("na") + F.col("nb") - overlap)).select(*keep)
+
+
+def can_reach(n1: str, n2: str, most1: str, most2: str, num: int, den: int) -> Column:
+    """Whether sets of these sizes are similar if they share as many n-grams as each shares with any set at all."""
+    both = F.least(most1, most2, n1, n2)
+    return den * both >= num * (F.col(n1) + F.col(n2) - both)
 
 
 def similar_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
-    t = Threshold(num, den)
     described = materialize(spark, describe(docs, shingle), "sets")
     meta = described.where("not hot").select("doc_id", "n", "fp")
     hot_rows = described.where("hot").groupBy("fp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "fp").limit(MAX_HOT).collect()
     hot = np.sort(np.array([r.fp for r in hot_rows], np.int64).view(T.U))
     total = meta.agg(F.sum("n")).first()[0] or 0
-    members = materialize(spark, buckets(spark, docs, shingle, t, hot, max(8, total // 3 // GROUP)), "buckets")
-
-    stars = members.where("node <> centre").groupBy("centre", "node").count().groupBy("node").agg(F.max(F.struct("count", -F.col("centre"))).alias("best"))
-    first = materialize(spark, stars.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b")), "pairs")
+    groups = max(8, total // GROUP)
+    prefix = materialize(spark, prefixes(spark, docs, shingle, num, den, hot, groups, max(8, groups // 8)), "prefixes")
+    centres = prefix.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("sig", "centre")
+    most = prefix.groupBy("node").agg(F.max("most").alias("most"))
+    members = materialize(spark, prefix.drop("most").distinct().join(centres, "sig").join(most, "node"), "buckets")
+    drop_path(spark, prefix.table_path)
+
+    centre_of = members.where("node = centre").select("sig", F.col("n").alias("nc"), F.col("most").alias("mc"))
+    stars = members.where("node <> centre").join(centre_of, "sig").where(can_reach("n", "nc", "most", "mc", num, den)).groupBy("centre", "node").agg(F.count("*").alias("count")).groupBy("node").agg(F.max(F.struct("count", (-F.col("centre")).alias("other"))).alias("best"))
+    first = materialize(spark, stars.select((-F.col("best.other")).alias("a"), F.col("node").alias("b")), "pairs")
     wanted = members.select("node").union(members.select("centre")).distinct()
     holders = meta.where("n > 0").groupBy(F.col("fp").alias("node")).agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).alias("key"))
     parts = materialize(spark, segments(docs, holders.join(wanted, "node"), shingle), "segments")
-    links = materialize(spark, verified(first, parts, t), "links")
+    links = materialize(spark, verified(first, parts, num, den), "links")
     label = connected_components(spark, links)
 
-    in_comp = members.select("sig", "node", "n").distinct().join(label.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    in_comp = members.select("sig", "node", "n", "most").join(label.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = materialize(spark, in_comp, "placed")
     per = placed.groupBy("sig", "comp").count().groupBy("sig").agg(F.max(F.struct("count", "comp")).alias("most"), F.count("*").alias("comps"))
     mixed = placed.join(per.where("comps > 1").select("sig", F.col("most.comp").alias("major")), "sig")
-    x = mixed.where("comp <> major").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    y = mixed.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), "major")
-    close = (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
+    x = mixed.where("comp <> major").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("comp").alias("cx"))
+    y = mixed.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("comp").alias("cy"), "major")
+    close = can_reach("nx", "ny", "mx", "my", num, den) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
     across = x.join(y, "sig").where(close)
     swap = F.col("x") < F.col("y")
-    across = across.select(*(F.when(swap, F.col(p)).otherwise(F.col(q)).alias(name) for p, q, name in (("x", "y", "a"), ("y", "x", "b"), ("cx", "cy", "ca"), ("cy", "cx", "cb")))).distinct()
+    across = across.select(*(F.when(swap, F.col(p)).otherwise(F.col(q)).alias(name) for p, q, name in (("x", "y", "a"), ("y", "x", "b"), ("cx", "cy", "ca"), ("cy", "cx", "cb"), ("nx", "ny", "na"), ("ny", "nx", "nb"))))
+    # of what two sets share, all up to where the first of their prefixes ends has met here; the rest lies after a prefix
+    after = F.greatest(*(-F.floor(-F.col(n) * num / den) - 1 for n in ("na", "nb"))).cast("long")
+    across = across.groupBy(*across.columns).agg(F.count("*").alias("met")).withColumn("both", F.col("met") + after)
+    across = across.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b", "ca", "cb")
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = materialize(spark, across.join(tested, ["a", "b"], "left_anti"), "pairs")
-    joins = connected_components(spark, verified(second, parts, t).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    joins = connected_components(spark, verified(second, parts, num, den).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     for done in (members, placed, first, second, parts, links):
         drop_path(spark, done.table_path)
 

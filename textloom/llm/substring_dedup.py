@@ -76,7 +76,7 @@ def plan_groups(rows: list, size: int) -> tuple[np.ndarray, int, int]:
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, k: int = K, group_size: int = GROUP) -> DataFrame:
-    """key (doc_id, nulls as NULL_ID) and blobs of path hashes whose windows a document with a smaller key also has."""
+    """A row per document with any: key (doc_id, nulls as NULL_ID) and the path hashes whose windows a document with a smaller key also has."""
     table, packed, whole = plan_groups(prefix_counts(docs, k).collect(), group_size)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,35 +130,53 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, k: int = K, group_siz
         if n:
             yield from flush()
 
+    buckets = max(8, whole // 8)
+
     def subtree(key: tuple, t: pa.Table) -> pa.Table:
+        """Finds the repeats of a group, and sends them on in few rows, by buckets of documents."""
         if key[0].as_py() < 0:
-            ids = [int.from_bytes(x, "little", signed=True) for x in t.column("docs").to_pylist()]
-            return pa.table({"key": pa.array(ids, pa.int64()), "paths": t.column("paths")})
-        paths, docs = [], []
-        for p, d in zip(t.column("paths").to_pylist(), t.column("docs").to_pylist(), strict=True):
-            names = int.from_bytes(d[-8:], "little")
-            index = d[8 * names + 1 : -8]
-            paths.append(T.unpack_sorted(p))
-            docs.append(np.frombuffer(d[: 8 * names], "<i8")[np.frombuffer(index, "<u2" if names < 1 << 16 else "<u4")])
-        path, doc = np.concatenate(paths), np.concatenate(docs)
-        by = np.argsort(path)
-        path, doc = path[by], doc[by]
-        at, size = T.runs(path)
-        lost = doc > np.repeat(np.minimum.reduceat(doc, at), size)
-        path, doc = path[lost], doc[lost]
+            ids = np.frombuffer(b"".join(t.column("docs").to_pylist()), "<i8")
+            sets = [T.unpack_sorted(x) for x in t.column("paths").to_pylist()]
+            path, doc = np.concatenate(sets), np.repeat(ids, [len(x) for x in sets])
+        else:
+            paths, docs = [], []
+            for p, d in zip(t.column("paths").to_pylist(), t.column("docs").to_pylist(), strict=True):
+                names = int.from_bytes(d[-8:], "little")
+                index = d[8 * names + 1 : -8]
+                paths.append(T.unpack_sorted(p))
+                docs.append(np.frombuffer(d[: 8 * names], "<i8")[np.frombuffer(index, "<u2" if names < 1 << 16 else "<u4")])
+            path, doc = np.concatenate(paths), np.concatenate(docs)
+            by = np.argsort(path)
+            path, doc = path[by], doc[by]
+            at, size = T.runs(path)
+            lost = doc > np.repeat(np.minimum.reduceat(doc, at), size)
+            path, doc = path[lost], doc[lost]
+        bucket = doc % buckets
+        by = np.lexsort((path, doc, bucket))
+        path, doc, bucket = path[by], doc[by], bucket[by]
+        first, many = T.runs(bucket)
+        return pa.table({
+            "bucket": pa.array(bucket[first], pa.int64()),
+            "paths": pa.array([path[a : a + m].tobytes() for a, m in zip(first.tolist(), many.tolist(), strict=True)], pa.binary()),
+            "docs": pa.array([doc[a : a + m].tobytes() for a, m in zip(first.tolist(), many.tolist(), strict=True)], pa.binary()),
+        })
+
+    def gather(_: tuple, t: pa.Table) -> pa.Table:
+        path = np.frombuffer(b"".join(t.column("paths").to_pylist()), T.U)
+        doc = np.frombuffer(b"".join(t.column("docs").to_pylist()), "<i8")
         by = np.lexsort((path, doc))
         path, doc = path[by], doc[by]
         first, many = T.runs(doc)
         return pa.table({"key": pa.array(doc[first], pa.int64()), "paths": pa.array([T.pack_sorted(path[a : a + m]) for a, m in zip(first.tolist(), many.tolist(), strict=True)], pa.binary())})
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), "text")
-    return keyed.mapInArrow(deal, "gid long, paths binary, docs binary").groupBy("gid").applyInArrow(subtree, "key long, paths binary")
+    found = keyed.mapInArrow(deal, "gid long, paths binary, docs binary").groupBy("gid").applyInArrow(subtree, "bucket long, paths binary, docs binary")
+    return found.groupBy("bucket").applyInArrow(gather, "key long, paths binary")
 
 
 def with_repeats(spark: SparkSession, docs: DataFrame, k: int = K, group_size: int = GROUP) -> DataFrame:
     """doc_id, text, n_words, n_removed and kept (the kept words joined by one space) of every row of ``docs``."""
     hits = materialize(spark, repeated_windows(spark, docs, k, group_size), "repeats")
-    per_doc = hits.groupBy("key").agg(F.collect_list("paths").alias("paths"))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +191,7 @@ def with_repeats(spark: SparkSession, docs: DataFrame, k: int = K, group_size: i
                 words = (text or "").encode().split()
                 if i in some:
                     a, n = int(w.first[i]), len(words)
-                    lost = np.isin(path[a : a + n - k + 1], np.concatenate([T.unpack_sorted(x) for x in blobs[i]]))
+                    lost = np.isin(path[a : a + n - k + 1], T.unpack_sorted(blobs[i]))
                     cover = np.zeros(n + 1, np.int64)
                     cover[: len(lost)] += lost
                     cover[k : k + len(lost)] -= lost
@@ -184,7 +202,7 @@ def with_repeats(spark: SparkSession, docs: DataFrame, k: int = K, group_size: i
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.counts, pa.int64()), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"))
-    return keyed.join(per_doc, "key", "left").select("doc_id", "text", "paths").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return keyed.join(hits, "key", "left").select("doc_id", "text", "paths").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
