@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, media, ngram_join, substring_dedup, token_output, warc
+from . import decontam, line_dedup, media, ngram_join, quality, substring_dedup, token_output, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -13,7 +13,9 @@ def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_join.op1,
         "op2_token_id_output": token_output.op2,
+        "op4_line_dedup": line_dedup.op4,
         "op5_benchmark_decontamination": decontam.op5,
+        "op6_quality_classifier": quality.op6,
         "op8_media_columns": media.op8,
         "op9_warc": warc.op9,
         "op10_substring_dedup": substring_dedup.op10,
@@ -32,6 +34,23 @@ e AS MATERIALIZED (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb
 r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)""",
+        "op4_line_dedup": r"""
+WITH l AS MATERIALIZED (SELECT doc_id, i - 1 AS line, parts[i] AS raw,
+         list_distinct(list_filter(regexp_split_to_array(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w
+       FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text <> ''))),
+s AS MATERIALIZED (SELECT row_number() OVER () AS id, x.w, len(x.w) AS n, x.first FROM (SELECT list_sort(w) AS w, min({'d': doc_id, 'l': line}) AS first FROM l WHERE len(w) > 0 GROUP BY 1) x),
+t AS MATERIALIZED (SELECT id, n, unnest(w) AS tok FROM s),
+df AS MATERIALIZED (SELECT tok, count(*) AS c FROM t GROUP BY tok),
+r AS MATERIALIZED (SELECT id, n, tok, row_number() OVER (PARTITION BY id ORDER BY c, tok) AS p FROM t JOIN df USING (tok) WHERE c > 0),
+cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM r a JOIN r b ON a.tok = b.tok AND a.id <> b.id
+         WHERE a.p <= a.n - (80 * a.n + 99) // 100 + 1 AND b.p <= b.n - (80 * b.n + 99) // 100 + 1 AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+link AS (SELECT cand.a, sb.first FROM cand JOIN s sa ON sa.id = cand.a JOIN s sb ON sb.id = cand.b
+         WHERE 100 * len(list_intersect(sa.w, sb.w)) >= 80 * (sa.n + sb.n - len(list_intersect(sa.w, sb.w)))),
+lim AS (SELECT s.w, least(s.first, coalesce(min(link.first), s.first)) AS lim FROM s LEFT JOIN link ON link.a = s.id GROUP BY s.id, s.w, s.first),
+k AS (SELECT l.doc_id, l.line, l.raw, coalesce({'d': l.doc_id, 'l': l.line} > lim.lim, false) AS gone FROM l LEFT JOIN lim ON list_sort(l.w) = lim.w)
+SELECT d.doc_id, CAST(count(k.line) AS BIGINT) AS n_lines, CAST(count(*) FILTER (k.gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(k.raw, chr(10) ORDER BY k.line) FILTER (NOT k.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""",
         "op5_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOW}, '{ALNUM}') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOW}, '{ALNUM}') AS w FROM benchmark),
