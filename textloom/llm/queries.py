@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, media, ngram_join, quality, substring_dedup, token_output, warc
+from . import decontam, html_extract, line_dedup, media, ngram_join, quality, sp_encode, substring_dedup, token_output, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -13,9 +13,11 @@ def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_join.op1,
         "op2_token_id_output": token_output.op2,
+        "op3_html_extraction": html_extract.op3,
         "op4_line_dedup": line_dedup.op4,
         "op5_benchmark_decontamination": decontam.op5,
         "op6_quality_classifier": quality.op6,
+        "op7_sentencepiece": sp_encode.op7,
         "op8_media_columns": media.op8,
         "op9_warc": warc.op9,
         "op10_substring_dedup": substring_dedup.op10,
