@@ -32,15 +32,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def word_set(line: Column) -> Column:
     """Hashes of a line's distinct words, ascending."""
-    words = F.filter(F.split(F.translate(line, UPPER, LOWER), SPLIT), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    words = F.array_remove(F.split(F.translate(line, UPPER, LOWER), SPLIT), "")
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """key, line, words of every line that isn't blank."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key")
     lines = docs.where(F.col("text").isNotNull()).select(key, F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return lines.select("key", "line", word_set(F.col("raw")).alias("words")).where(F.size("words") > 0)
+    # through explode() the set is made once, however often it is used above
+    return lines.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("key", "line", F.explode(F.array(word_set(F.col("raw")))).alias("words"))
 
 
 def fingerprint(words: Column) -> Column:
@@ -57,16 +58,22 @@ def rarity(lines: DataFrame) -> bytearray:
     rows = counts.toPandas()
     n = np.zeros(BUCKETS, np.float64)
     n[rows["b"].to_numpy()] = rows["count"].to_numpy()
-    return bytearray(np.where(n > 1, np.minimum(255, np.floor(np.log2(np.maximum(n, 1)) * 6)), 0).astype(np.uint8).tobytes())
+    return bytearray(np.where(n > 1, np.minimum(127, np.floor(np.log2(np.maximum(n, 1)) * 6)), 0).astype(np.uint8).tobytes())
 
 
 def prefixes(lines: DataFrame, scale: bytearray, num: int, den: int) -> DataFrame:
-    """word, fp, n, pos: the words of each distinct set's prefix that other lines may have."""
-    by_rarity = F.array_sort(F.transform("words", lambda w: F.struct(F.substring(F.lit(scale), bucket(w) + 1, F.lit(1)).alias("r"), w.alias("w"))))
+    """word, fp, n, pos, alone: the words of each distinct set's prefix that other lines may have; alone: how many words of the set, the first ones, no other line has.
+
+    A word stands here as its rarity in the highest byte and its hash below, so that plain numbers sort by rarity.
+    """
+    rank = lambda w: F.ascii(F.substring(F.lit(scale), bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
+    by_rarity = F.sort_array(F.transform("words", lambda w: F.shiftleft(rank(w), 56) + F.shiftrightunsigned(w, 8)))
     n = F.size("words")
     size = n + F.floor(-n * num / den).cast("int") + 1
-    ordered = lines.where(n * (den - num) >= num).select(fingerprint(F.col("words")).alias("fp"), n.alias("n"), F.posexplode(F.slice(by_rarity, F.lit(1), size)).alias("pos", "x"))
-    return ordered.where(F.col("x.r") != F.lit(bytearray(1))).select(F.col("x.w").alias("word"), "fp", "n", "pos").distinct()
+    prefix = lines.where(n * (den - num) >= num).select(fingerprint(F.col("words")).alias("fp"), n.alias("n"), F.explode(F.array(F.slice(by_rarity, F.lit(1), size))).alias("prefix"))
+    alone = F.size(F.filter("prefix", lambda x: x < (1 << 56)))
+    dealt = prefix.select("fp", "n", alone.alias("alone"), F.posexplode("prefix").alias("pos", "word"))
+    return dealt.where(F.col("word") >= (1 << 56)).select("word", "fp", "n", "pos", "alone").distinct()
 
 
 def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -74,12 +81,16 @@ def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int =
     lines = lines_of(docs)
     index = materialize(spark, lines.select("key", "line", fingerprint(F.col("words")).alias("fp")), "lines")
     words = materialize(spark, prefixes(lines, rarity(lines), num, den), "prefixes")
-    a, b = words.toDF("word", "fa", "na", "pa"), words.toDF("word", "fb", "nb", "pb")
+    a, b = words.toDF("word", "fa", "na", "pa", "ua"), words.toDF("word", "fb", "nb", "pb", "ub")
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # this word and all after it
-    before = F.least("pa", "pb")
+    before = F.least(F.col("pa") - F.col("ua"), F.col("pb") - F.col("ub"))
     length = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     position = (before + rest) * (num + den) >= num * (F.col("na") + F.col("nb"))
-    pairs = materialize(spark, a.join(b, "word").where((F.col("fa") < F.col("fb")) & length & position).select("fa", "fb").distinct(), "pairs")
+    met = a.join(b, "word").where((F.col("fa") < F.col("fb")) & length & position).groupBy("fa", "fb", "na", "nb").agg(F.count("*").alias("met"))
+    # of what two sets share, all up to where the first of their prefixes ends has met here; the rest lies after a prefix
+    after = F.greatest(*(-F.floor(-F.col(n) * num / den) - 1 for n in ("na", "nb")))
+    enough = (F.col("met") + after) * (num + den) >= num * (F.col("na") + F.col("nb"))
+    pairs = materialize(spark, met.where(enough).select("fa", "fb"), "pairs")
     wanted = pairs.select(F.col("fa").alias("fp")).union(pairs.select("fb")).distinct()
     sets = lines.select(fingerprint(F.col("words")).alias("fp"), "words").join(wanted, "fp").groupBy("fp").agg(F.first("words").alias("words"))
     sets = materialize(spark, sets, "sets")
