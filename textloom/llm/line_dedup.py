@@ -30,9 +30,14 @@ SPLIT = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased; lower() does that, and faster, where all characters are ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def word_set(line: Column) -> Column:
     """Hashes of a line's distinct words, ascending."""
-    words = F.array_remove(F.split(F.translate(line, UPPER, LOWER), SPLIT), "")
+    words = F.array_remove(F.split(lowered(line), SPLIT), "")
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
@@ -52,9 +57,10 @@ def bucket(word: Column) -> Column:
     return F.shiftrightunsigned(word, 20).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity(lines: DataFrame) -> bytearray:
-    """A byte for each bucket of words: on a logarithmic scale, how many lines have them; 0 for one line at most. Collects BUCKETS counters."""
-    counts = lines.select(F.explode("words").alias("w")).groupBy(bucket(F.col("w")).alias("b")).count()
+def rarity(docs: DataFrame) -> bytearray:
+    """A byte for each bucket of words: on a logarithmic scale, how often they occur; 0 for once at most. Collects BUCKETS counters."""
+    found = docs.select(F.explode(F.split(lowered(F.col("text")), SPLIT)).alias("w"))
+    counts = found.groupBy(bucket(F.xxhash64("w")).alias("b")).count()
     rows = counts.toPandas()
     n = np.zeros(BUCKETS, np.float64)
     n[rows["b"].to_numpy()] = rows["count"].to_numpy()
@@ -80,7 +86,7 @@ def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int =
     """key, line of every line with an earlier match."""
     lines = lines_of(docs)
     index = materialize(spark, lines.select("key", "line", fingerprint(F.col("words")).alias("fp")), "lines")
-    words = materialize(spark, prefixes(lines, rarity(lines), num, den), "prefixes")
+    words = materialize(spark, prefixes(lines, rarity(docs), num, den), "prefixes")
     a, b = words.toDF("word", "fa", "na", "pa", "ua"), words.toDF("word", "fb", "nb", "pb", "ub")
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # this word and all after it
     before = F.least(F.col("pa") - F.col("ua"), F.col("pb") - F.col("ub"))
