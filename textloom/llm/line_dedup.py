@@ -57,13 +57,16 @@ def bucket(word: Column) -> Column:
     return F.shiftrightunsigned(word, 20).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity(docs: DataFrame) -> bytearray:
+def rarity(spark: SparkSession, docs: DataFrame) -> bytearray:
     """A byte for each bucket of words: on a logarithmic scale, how often they occur; 0 for once at most. Collects BUCKETS counters."""
     found = docs.select(F.explode(F.split(lowered(F.col("text")), SPLIT)).alias("w"))
     counts = found.groupBy(bucket(F.xxhash64("w")).alias("b")).count()
-    rows = counts.toPandas()
+    counts = materialize(spark, counts, "counts")
     n = np.zeros(BUCKETS, np.float64)
-    n[rows["b"].to_numpy()] = rows["count"].to_numpy()
+    for part in range(16):  # a part at a time, for the driver's memory
+        rows = counts.where(F.col("b") % 16 == part).toPandas()
+        n[rows["b"].to_numpy()] = rows["count"].to_numpy()
+    drop_path(spark, counts.table_path)
     return bytearray(np.where(n > 1, np.minimum(127, np.floor(np.log2(np.maximum(n, 1)) * 6)), 0).astype(np.uint8).tobytes())
 
 
@@ -86,7 +89,7 @@ def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int =
     """key, line of every line with an earlier match."""
     lines = lines_of(docs)
     index = materialize(spark, lines.select("key", "line", fingerprint(F.col("words")).alias("fp")), "lines")
-    words = materialize(spark, prefixes(lines, rarity(docs), num, den), "prefixes")
+    words = materialize(spark, prefixes(lines, rarity(spark, docs), num, den), "prefixes")
     a, b = words.toDF("word", "fa", "na", "pa", "ua"), words.toDF("word", "fb", "nb", "pb", "ub")
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # this word and all after it
     before = F.least(F.col("pa") - F.col("ua"), F.col("pb") - F.col("ub"))
