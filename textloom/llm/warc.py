@@ -149,7 +149,8 @@ def read_records(wanted: DataFrame) -> DataFrame:
                 yield _batch([parse(zlib.decompress(data[o - start : o - start + m], 31)) for _, o, m in ranges[i:j]], RECORD)
                 i = j
 
-    return wanted.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
+    files = max(1, wanted.select("file").distinct().count())  # a given number of partitions isn't merged, small as the index is
+    return wanted.select("file", "offset", "length").repartition(files, "file").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
