@@ -5,10 +5,10 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from textloom.plans import catalog
+from textloom.plans import catalog, governance  # noqa: F401  governance adds its queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
 
 def plain(v):
@@ -59,3 +59,22 @@ def test_parse_errors(spark):
     got = spark.createDataFrame([(t,) for t in cases], "t string").select(M.parse_v2(F.col("t")).alias("p")).collect()
     assert [r.p.error for r in got] == list(cases.values())
     assert got[0].p.bullets == ["one", "two"] and got[0].p.actions == ["do"]
+
+
+def test_governance_edges(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.operators import governance as G
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "a")], "id long, fp string")
+    assert sorted(r.id for r in G.shared_fingerprints(rows, "fp").collect()) == [1, 4]
+    pairs = spark.createDataFrame([("sha256:ab", "ab"), (None, None), ("ab", None)], "a string, b string")
+    assert [r[0] for r in pairs.select(G.same_fingerprint(F.col("a"), F.col("b"))).collect()] == [True, True, False]
+    dims = "map<string,boolean>"
+    cases = [("accept", {"x": True}, True), ("accept", {"x": False}, False), ("accept", {"x": None}, False), ("reject", {"x": False}, True), ("reject", {"x": True}, False), ("else", {"x": True}, False), ("accept", {}, False), (None, {"x": True}, False), ("accept", None, False)]
+    got = spark.createDataFrame([c[:2] for c in cases], f"v string, d {dims}").select(G.coherent_verdict(F.col("v"), F.col("d")))
+    assert [r[0] for r in got.collect()] == [c[2] for c in cases]
+    seq = lambda *v: spark.createDataFrame(list(enumerate(v)), "i long, v string")
+    faults = G.sequence_faults(seq("a", "x", "c", "d"), seq("a", "b"), seq("c"), "i", "v").collect()
+    assert sorted((r.i, r.fault) for r in faults) == [(1, "different"), (3, "extra")]
+    assert G.sequence_faults(seq("a"), seq("a").limit(0), seq("a"), "i", "v").collect() == []
