@@ -130,7 +130,7 @@ def cosine_hash(image: np.ndarray) -> str:
         else:
             image = np.take(image, at, axis=axis).astype(np.float64)
     low = np.round(_COS @ image @ _COS.T, 6).ravel()
-    return f"{int(''.join('1' if x > np.median(low[1:]) else '0' for x in low), 2):016x}"
+    return np.packbits(low > np.median(low[1:])).tobytes().hex()
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
