@@ -26,18 +26,23 @@ from .common import NULL_ID, drop_path, materialize
 
 NUM, DEN = 80, 100
 BUCKETS = 1 << 20
-SPLIT = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OTHER_SPACE = r"[\x09-\x0D]"
 
 
 def lowered(text: Column) -> Column:
-    """A-Z lower-cased; lower() does that, and faster, where all characters are ASCII."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    """A-Z lower-cased, to compare only: the UTF-8 bytes stand as characters of Latin-1.
+
+    lower() then changes A-Z and the lead bytes C3 to DE, which become E3 to FE. A lead byte of two still differs from
+    one of three or four, by the number of bytes that follow, so different texts stay different. translate() does the
+    same for A-Z at many times the cost.
+    """
+    return F.lower(F.decode(text.cast("binary"), "ISO-8859-1"))
 
 
 def word_set(line: Column) -> Column:
     """Hashes of a line's distinct words, ascending."""
-    words = F.array_remove(F.split(lowered(line), SPLIT), "")
+    plain = F.when(line.rlike(OTHER_SPACE), F.regexp_replace(line, OTHER_SPACE, " ")).otherwise(line)
+    words = F.array_remove(F.split(lowered(plain), " "), "")
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
@@ -57,10 +62,9 @@ def bucket(word: Column) -> Column:
     return F.shiftrightunsigned(word, 20).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity(spark: SparkSession, docs: DataFrame) -> bytearray:
-    """A byte for each bucket of words: on a logarithmic scale, how often they occur; 0 for once at most. Collects BUCKETS counters."""
-    found = docs.select(F.explode(F.split(lowered(F.col("text")), SPLIT)).alias("w"))
-    counts = found.groupBy(bucket(F.xxhash64("w")).alias("b")).count()
+def rarity(spark: SparkSession, lines: DataFrame) -> bytearray:
+    """A byte for each bucket of words: on a logarithmic scale, how many lines have them; 0 for one at most. Collects BUCKETS counters."""
+    counts = lines.select(F.explode("words").alias("w")).groupBy(bucket(F.col("w")).alias("b")).count()
     counts = materialize(spark, counts, "counts")
     n = np.zeros(BUCKETS, np.float64)
     for part in range(16):  # a part at a time, for the driver's memory
@@ -79,7 +83,7 @@ def prefixes(lines: DataFrame, scale: bytearray, num: int, den: int) -> DataFram
     by_rarity = F.sort_array(F.transform("words", lambda w: F.shiftleft(rank(w), 56) + F.shiftrightunsigned(w, 8)))
     n = F.size("words")
     size = n + F.floor(-n * num / den).cast("int") + 1
-    prefix = lines.where(n * (den - num) >= num).select(fingerprint(F.col("words")).alias("fp"), n.alias("n"), F.explode(F.array(F.slice(by_rarity, F.lit(1), size))).alias("prefix"))
+    prefix = lines.where(n * (den - num) >= num).select("fp", n.alias("n"), F.explode(F.array(F.slice(by_rarity, F.lit(1), size))).alias("prefix"))
     alone = F.size(F.filter("prefix", lambda x: x < (1 << 56)))
     dealt = prefix.select("fp", "n", alone.alias("alone"), F.posexplode("prefix").alias("pos", "word"))
     return dealt.where(F.col("word") >= (1 << 56)).select("word", "fp", "n", "pos", "alone").distinct()
@@ -87,9 +91,9 @@ def prefixes(lines: DataFrame, scale: bytearray, num: int, den: int) -> DataFram
 
 def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """key, line of every line with an earlier match."""
-    lines = lines_of(docs)
-    index = materialize(spark, lines.select("key", "line", fingerprint(F.col("words")).alias("fp")), "lines")
-    words = materialize(spark, prefixes(lines, rarity(spark, docs), num, den), "prefixes")
+    lines = materialize(spark, lines_of(docs).select("key", "line", fingerprint(F.col("words")).alias("fp"), "words"), "lines")
+    index = lines.select("key", "line", "fp")
+    words = materialize(spark, prefixes(lines, rarity(spark, lines), num, den), "prefixes")
     a, b = words.toDF("word", "fa", "na", "pa", "ua"), words.toDF("word", "fb", "nb", "pb", "ub")
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # this word and all after it
     before = F.least(F.col("pa") - F.col("ua"), F.col("pb") - F.col("ub"))
@@ -101,7 +105,7 @@ def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int =
     enough = (F.col("met") + after) * (num + den) >= num * (F.col("na") + F.col("nb"))
     pairs = materialize(spark, met.where(enough).select("fa", "fb"), "pairs")
     wanted = pairs.select(F.col("fa").alias("fp")).union(pairs.select("fb")).distinct()
-    sets = lines.select(fingerprint(F.col("words")).alias("fp"), "words").join(wanted, "fp").groupBy("fp").agg(F.first("words").alias("words"))
+    sets = lines.select("fp", "words").join(wanted, "fp").groupBy("fp").agg(F.first("words").alias("words"))
     sets = materialize(spark, sets, "sets")
     both = pairs.join(sets.toDF("fa", "wa"), "fa").join(sets.toDF("fb", "wb"), "fb")
     both = both.select("fa", "fb", F.size(F.array_intersect("wa", "wb")).alias("o"), (F.size("wa") + F.size("wb")).alias("s"))
@@ -112,7 +116,7 @@ def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int =
     linked = two_ways.join(first.toDF("other", "limit"), "other").groupBy("fp").agg(F.min("limit").alias("limit"))
     limits = first.join(linked, "fp", "left").select("fp", F.least("first", F.coalesce("limit", "first")).alias("limit"))
     later = materialize(spark, index.join(limits, "fp").where(place > F.col("limit")).select("key", "line").distinct(), "later")
-    for done in (index, words, pairs, sets, links):
+    for done in (lines, words, pairs, sets, links):
         drop_path(spark, done.table_path)
     return later
 
@@ -135,7 +139,7 @@ def remove_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_kept(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    n = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n")))
+    n = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(1 + F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))))
     return found.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce(kept_text(), F.lit("")), 256).alias("kept_sha256"))
 
 
