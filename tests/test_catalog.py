@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from textloom.plans import catalog, governance  # noqa: F401  governance adds its queries
+from textloom.plans import catalog, governance, membership  # noqa: F401  these add their queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
