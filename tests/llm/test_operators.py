@@ -173,3 +173,13 @@ def test_quality(spark):
     assert scored.where("(__score >= 0.3) <> (doc_id < 150)").where("doc_id < 300").count() == 0
     assert scored.where("__score is null or __score < 0 or __score > 1").count() == 0
     assert quality.score(docs, quality.fit(docs, labels.limit(0))).count() == len(rows)
+
+
+def test_lowered_tells_all_characters_apart(spark):
+    from pyspark.sql import functions as F
+
+    chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x11000), *range(0x1F000, 0x20000)]]
+    pairs = [a + b for a in "aÃãあ" for b in "zÉéあ\U0001F600"]
+    rows = spark.createDataFrame([(t,) for t in [*chars, *pairs]], "t string").select("t", line_dedup.lowered(F.col("t")).alias("l"))
+    assert rows.agg(F.count_distinct("l")).first()[0] == len(set(chars) | set(pairs)) - 26
+    assert rows.where("t between 'A' and 'Z' and length(t) = 1 and l <> lower(t)").count() == 0
