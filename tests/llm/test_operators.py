@@ -49,6 +49,25 @@ def test_ngram_join(spark):
     assert ngram_join.similar_components(spark, frame(spark, []), 4, 85, 100).count() == 0
 
 
+def kept_rows(rows, *args):
+    """keep_one by brute force, row by row."""
+    return [r for r, (d, n, c) in zip(rows, ngram_join.brute_force(rows, *args), strict=True) if n == 0 or c is None or d == c]
+
+
+def odd_ids():
+    """Rows without an id, and rows that repeat one with another text, some of them near copies."""
+    rows, base = corpus(), words(50)
+    alone = words(30)
+    return rows + [(None, base + " a"), (None, base + " b"), (None, alone), (None, alone), (None, " "), (None, None), (70, base), (71, base + " c"), (71, words(30)), (71, ""), (6, base + " d"), (6, words(25))]
+
+
+def test_keep_one_judges_each_row(spark):
+    rows = odd_ids()
+    want = kept_rows(rows)
+    assert len([r for r in want if r[0] is None]) > 4 and len([r for r in want if r[0] == 71]) == 2
+    same([(r.doc_id, r.text) for r in ngram_join.keep_one(spark, frame(spark, rows)).collect()], want)
+
+
 def test_substring_dedup(spark):
     rows = corpus()
     from pyspark.sql import functions as F

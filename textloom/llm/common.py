@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id in internal keys: it sorts after every real id.
@@ -15,6 +15,15 @@ NULL_ID = 2**63 - 1
 _own_dir: list[str] = []
 
 
+def id_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+
+
+def text_hash() -> Column:
+    """Tells rows of one doc_id, or without one, apart by their text."""
+    return F.xxhash64("text")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or an own one in local mode if it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import NULL_ID, connected_components, drop_path, materialize
+from .common import connected_components, drop_path, id_key, materialize, text_hash
 
 FRAGMENTS = 4
 #: n-grams that a block of documents gathers, and that a fragment holds.
@@ -66,23 +66,23 @@ def fingerprints(grams: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """Per document doc_id, n, fp; and hot n-grams of blocks (hot true): fp the n-gram, n the block's documents with it."""
+    """Per document doc_id, n, fp, row (hash of its text); and hot n-grams of blocks (hot true): fp the n-gram, n the block's documents with it."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, seen, names, idtype = [], 0, set(), ["doc_id", "n", "fp", "hot"], None
+        held, n, seen, names, idtype = [], 0, set(), ["doc_id", "n", "fp", "hot", "row"], None
 
         def hot() -> Iterator[pa.RecordBatch]:
             grams = np.sort(np.concatenate(held))
             at, many = T.runs(grams)
             some = many >= max(HOT_DOCS, HOT_PART * len(seen))
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(some.sum()), idtype), pa.array(many[some], pa.int64()), pa.array(grams[at[some]].view(np.int64)), pa.array(np.ones(some.sum(), bool))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(some.sum()), idtype), pa.array(many[some], pa.int64()), pa.array(grams[at[some]].view(np.int64)), pa.array(np.ones(some.sum(), bool)), pa.nulls(int(some.sum()), pa.int64())], names=names)
 
         for b in T.slices(batches):
             idtype = b.column("doc_id").type
             grams, off = ngram_sets(b, k)
             fp = fingerprints(grams, off)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(fp.view(np.int64)), pa.array(np.zeros(b.num_rows, bool))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(fp.view(np.int64)), pa.array(np.zeros(b.num_rows, bool)), b.column("row")], names=names)
             new = [i for i, x in enumerate(fp.tolist()) if x and not (x in seen or seen.add(x))]
             held += [grams[off[i] : off[i + 1]] for i in new]
             n += sum(len(x) for x in held[len(held) - len(new) :])
@@ -92,7 +92,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
         if n:
             yield from hot()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fp long, hot boolean")
+    return docs.select("doc_id", "text", text_hash().alias("row")).mapInArrow(run, f"doc_id {kind}, n long, fp long, hot boolean, row long")
 
 
 def fragments_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -251,7 +251,7 @@ def segments(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["node", "frag", "n", "grams"])
 
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), "text")
+    keyed = docs.select(id_key().alias("key"), "text")
     return keyed.join(wanted, "key").select("node", "text").mapInArrow(run, "node long, frag int, n long, grams binary")
 
 
@@ -280,10 +280,10 @@ def can_reach(n1: str, n2: str, most1: str, most2: str, num: int, den: int) -> C
     return den * both >= num * (F.col(n1) + F.col(n2) - both)
 
 
-def similar_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``."""
+def labelled(spark: SparkSession, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """doc_id, row (hash of the text), n_shingles and component_id of every row of ``docs``."""
     described = materialize(spark, describe(docs, shingle), "sets")
-    meta = described.where("not hot").select("doc_id", "n", "fp")
+    meta = described.where("not hot").select("doc_id", "row", "n", "fp")
     hot_rows = described.where("hot").groupBy("fp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "fp").limit(MAX_HOT).collect()
     hot = np.sort(np.array([r.fp for r in hot_rows], np.int64).view(T.U))
     total = meta.agg(F.sum("n")).first()[0] or 0
@@ -298,7 +298,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, n
     stars = members.where("node <> centre").join(centre_of, "sig").where(can_reach("n", "nc", "most", "mc", num, den)).groupBy("centre", "node").agg(F.count("*").alias("count")).groupBy("node").agg(F.max(F.struct("count", (-F.col("centre")).alias("other"))).alias("best"))
     first = materialize(spark, stars.select((-F.col("best.other")).alias("a"), F.col("node").alias("b")), "pairs")
     wanted = members.select("node").union(members.select("centre")).distinct()
-    holders = meta.where("n > 0").groupBy(F.col("fp").alias("node")).agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).alias("key"))
+    holders = meta.where("n > 0").groupBy(F.col("fp").alias("node")).agg(F.min(id_key()).alias("key"))
     parts = materialize(spark, segments(docs, holders.join(wanted, "node"), shingle), "segments")
     links = materialize(spark, verified(first, parts, num, den), "links")
     label = connected_components(spark, links)
@@ -325,17 +325,25 @@ def similar_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, n
 
     label = label.toDF("fp", "c1")
     joined = meta.join(label, "fp", "left").withColumn("c1", F.coalesce("c1", "fp")).join(joins.toDF("c1", "c2"), "c1", "left")
-    comp = joined.select("doc_id", "n", F.coalesce("c2", "c1").alias("comp"))
+    comp = joined.select("doc_id", "row", "n", F.coalesce("c2", "c1").alias("comp"))
     least = comp.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return comp.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return comp.join(least, "comp", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def similar_components(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``."""
+    return labelled(spark, docs, shingle, num, den).drop("row")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each component. Rows without words, and rows whose component has no id, stay."""
-    found = similar_components(spark, docs, shingle, num, den)
+    """``docs`` without all but the smallest doc_id of each component. Rows without words, and rows whose component has no id, stay.
+
+    Each row is judged by its own text: others of its doc_id, or others without one, may go while it stays.
+    """
+    found = labelled(spark, docs, shingle, num, den)
     gone = found.where("n_shingles > 0 and component_id is not null and (doc_id is null or doc_id <> component_id)")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return docs.withColumn("__key", key).join(gone.select(key.alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("__key", id_key()).withColumn("__row", text_hash())
+    return keyed.join(gone.select(id_key().alias("__key"), F.col("row").alias("__row")).distinct(), ["__key", "__row"], "left_anti").select(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
