@@ -88,6 +88,77 @@ def test_line_dedup(spark):
     assert line_dedup.remove_lines(spark, frame(spark, [])).count() == 0
 
 
+def test_line_dedup_tells_rows_apart(spark):
+    a, b, c = words(9), words(9), words(9)
+    rows = [(1, f"{a}\n{words(9)}"), (None, f"{words(9)}\n{a}\n{words(9)}"), (None, f"{words(9)}\n{words(9)}\n{words(9)}"), (None, words(9)), (None, b + "\n" + words(9)), (None, b + "\n" + words(9))]
+    rows += [(5, f"{a}\n{words(9)}"), (5, f"{words(9)}\n{c}"), (5, f"{words(9)}\n{c}"), (6, c), (6, None), (None, None), *odd_ids()]
+    found = line_dedup.brute_texts(rows)
+    assert len([k for (i, _), (_, k) in zip(rows[:6], found, strict=False) if i is None and len(k) == 3]) == 1
+    assert sum(b in k for _, k in found) == 1 and all(n >= len(k) for n, k in found if n)
+    got = line_dedup.remove_lines(spark, frame(spark, rows)).collect()
+    same([(r.doc_id, r.text) for r in got], [(i, None if t is None else "\n".join(k)) for (i, t), (_, k) in zip(rows, found, strict=True)])
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{(at := common.new_path(spark, 'rows'))}/documents.parquet")
+    same(line_dedup.op4(spark, at).collect(), line_dedup.brute_force(rows))
+
+
+def brute_cut(text, hit):
+    """Text without the runs of hit words, each from its first word's start to its last word's end."""
+    import re
+
+    found = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))]
+    out, at = [], 0
+    for n, (s, e) in enumerate(found):
+        if n in hit:
+            out.append(text[at : at if n - 1 in hit else s])
+            at = e
+    return "".join([*out, text[at:]])
+
+
+def brute_benchmark(rows, items, window=decontam.WINDOW):
+    import re
+
+    def low(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+
+    wins = {tuple(w[i : i + window]) for w in map(low, (t for _, t in items)) if w for i in range(max(1, len(w) - window + 1))}
+    out = []
+    for i, t in rows:
+        w = low(t)
+        hit = {p for k in {len(x) for x in wins} for at in range(len(w) - k + 1) if tuple(w[at : at + k]) in wins for p in range(at, at + k)}
+        out.append((i, brute_cut(t, hit) if hit else t))
+    return out
+
+
+def test_pipeline_like_brute_force(spark):
+    import hashlib
+
+    import sentencepiece
+
+    import corpus_pipeline
+
+    junk = [(i, words(50).replace(" ", "$$$ ")) for i in range(400, 440)]
+    rows = [*odd_ids(), *((i, words(50)) for i in range(300, 340)), *junk, (None, junk[0][1] + " x"), (300, junk[1][1] + " y")]
+    items = [("1", rows[45][1].split("\n")[0]), ("2", rows[-80][1])]
+    at = common.new_path(spark, "tables")
+    spark.createDataFrame([(i, t, "en", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 400), 0) for i in range(301, 440) if i < 340 or i >= 400], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{at}/benchmark.parquet")
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    scored = quality.score(docs, quality.fit(docs, labels)).collect()
+    want = [(r.doc_id, r.text) for r in scored if r["__score"] >= quality.THRESHOLD]
+    assert {(i, t) for i, t in rows if 300 <= (i or 0) < 340 and "$" not in t} <= set(want) and not {t for _, t in want if t and "$$$" in t}
+    cut = [(i, None if t is None else "\n".join(k)) for (i, t), (_, k) in zip(want, line_dedup.brute_texts(want), strict=True)]
+    steps = [want, cut, kept_rows(cut), brute_benchmark(kept_rows(cut), items)]
+    for (name, stage), rest in zip(corpus_pipeline.STAGES[:-1], steps, strict=True):
+        docs = common.materialize(spark, stage(spark, docs, at), name)
+        same([(r.doc_id, r.text) for r in docs.collect()], rest)
+        assert docs.where("n_chars <> length(coalesce(text, ''))").count() == 0
+    assert rest != steps[-2]
+    lib = sentencepiece.SentencePieceProcessor(model_file=common.tokenizer_path(sp_encode.MODEL))
+    ids = [(i, lib.encode(t or ""), hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest()) for i, t in rest]
+    same([(r.doc_id, r.n_pieces, r.ids, r.decoded_sha256) for r in corpus_pipeline.run(spark, at).collect()], [(i, len(p), p, h) for i, p, h in ids])
+
+
 def test_decontamination(spark):
     rows = corpus()
     items = [("1", rows[45][1]), ("2", "One two"), ("3", None), ("4", ""), ("10", rows[45][1]), ("5", words(30))]

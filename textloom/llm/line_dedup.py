@@ -1,19 +1,20 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words (runs without white space, A-Z lower-cased); it is removed if a line that comes earlier,
-by (doc_id, line number), has a Jaccard similarity of at least num / den with it, wherever that line is and whether or
-not it is removed itself. Blank lines stay.
+by (doc_id, hash of the text, line number), has a Jaccard similarity of at least num / den with it, wherever that line is
+and whether or not it is removed itself. Blank lines stay.
 
 Plan: lines with equal sets become one set with its first place. Words are counted in BUCKETS hashed counters, a table
 of fixed size that every task gets as one binary literal; it orders each set's words, rarest first. Only the words of
 the prefix, with their positions, are dealt out by word and joined; the size and position filters stand in the join's
 condition. Words counted once are in one line only and aren't dealt out, nor are sets so small that similar means
 equal. Pairs are verified on the words' 64-bit hashes. A set's limit is the first place of it and of all similar sets; later
-lines go. Rows per line are (doc, line, set), so a line of a third of all documents is one set in the join, and a
-24-byte row elsewhere.
+lines go. Rows per line are (doc, text's hash, line, set), so a line of a third of all documents is one set in the join,
+and a 32-byte row elsewhere.
 
-Null and empty texts have no lines. A null doc_id comes after all others. Repeated rows share places, so they don't
-remove each other's lines.
+Null and empty texts have no lines. A null doc_id comes after all others. Rows of one doc_id, or without one, that have
+different texts have places of their own. Rows with the same doc_id, or both without one, and the same text can't be
+told apart: they share places and don't remove each other's lines.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, drop_path, materialize
+from .common import NULL_ID, drop_path, id_key, materialize, text_hash
 
 NUM, DEN = 80, 100
 BUCKETS = 1 << 20
@@ -47,11 +48,10 @@ def word_set(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """key, line, words of every line that isn't blank."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key")
-    lines = docs.where(F.col("text").isNotNull()).select(key, F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    """key, row, line, words of every line that isn't blank."""
+    lines = docs.where(F.col("text").isNotNull()).select(id_key().alias("key"), text_hash().alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     # through explode() the set is made once, however often it is used above
-    return lines.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("key", "line", F.explode(F.array(word_set(F.col("raw")))).alias("words"))
+    return lines.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("key", "row", "line", F.explode(F.array(word_set(F.col("raw")))).alias("words"))
 
 
 def fingerprint(words: Column) -> Column:
@@ -90,9 +90,9 @@ def prefixes(lines: DataFrame, scale: bytearray, num: int, den: int) -> DataFram
 
 
 def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """key, line of every line with an earlier match."""
-    lines = materialize(spark, lines_of(docs).select("key", "line", fingerprint(F.col("words")).alias("fp"), "words"), "lines")
-    index = lines.select("key", "line", "fp")
+    """key, row, line of every line with an earlier match."""
+    lines = materialize(spark, lines_of(docs).select("key", "row", "line", fingerprint(F.col("words")).alias("fp"), "words"), "lines")
+    index = lines.select("key", "row", "line", "fp")
     words = materialize(spark, prefixes(lines, rarity(spark, lines), num, den), "prefixes")
     a, b = words.toDF("word", "fa", "na", "pa", "ua"), words.toDF("word", "fb", "nb", "pb", "ub")
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # this word and all after it
@@ -110,12 +110,12 @@ def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int =
     both = pairs.join(sets.toDF("fa", "wa"), "fa").join(sets.toDF("fb", "wb"), "fb")
     both = both.select("fa", "fb", F.size(F.array_intersect("wa", "wb")).alias("o"), (F.size("wa") + F.size("wb")).alias("s"))
     links = materialize(spark, both.where(F.col("o") * den >= (F.col("s") - F.col("o")) * num).select("fa", "fb"), "links")
-    place = F.struct("key", "line")
+    place = F.struct("key", "row", "line")
     first = index.groupBy("fp").agg(F.min(place).alias("first"))
     two_ways = links.union(links.select("fb", "fa")).toDF("fp", "other")
     linked = two_ways.join(first.toDF("other", "limit"), "other").groupBy("fp").agg(F.min("limit").alias("limit"))
     limits = first.join(linked, "fp", "left").select("fp", F.least("first", F.coalesce("limit", "first")).alias("limit"))
-    later = materialize(spark, index.join(limits, "fp").where(place > F.col("limit")).select("key", "line").distinct(), "later")
+    later = materialize(spark, index.join(limits, "fp").where(place > F.col("limit")).select("key", "row", "line").distinct(), "later")
     for done in (lines, words, pairs, sets, links):
         drop_path(spark, done.table_path)
     return later
@@ -123,8 +123,8 @@ def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int =
 
 def with_kept(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` (its columns prefixed as they are) with __gone, the sorted numbers of the lines to remove, or null."""
-    gone = later_lines(spark, docs, num, den).groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("__gone")).withColumnRenamed("key", "__key")
-    return docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(gone, "__key", "left").drop("__key")
+    gone = later_lines(spark, docs, num, den).groupBy(F.col("key").alias("__key"), F.col("row").alias("__row")).agg(F.array_sort(F.collect_list("line")).alias("__gone"))
+    return docs.withColumn("__key", id_key()).withColumn("__row", text_hash()).join(gone, ["__key", "__row"], "left").drop("__key", "__row")
 
 
 def kept_text() -> Column:
@@ -143,18 +143,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce(kept_text(), F.lit("")), 256).alias("kept_sha256"))
 
 
-def brute_force(rows: list[tuple[int | None, str | None]], num: int = NUM, den: int = DEN) -> list[tuple]:
-    import hashlib
+def brute_texts(rows: list[tuple[int | None, str | None]], num: int = NUM, den: int = DEN) -> list[tuple]:
+    """Per row how many lines it has and those that are left."""
+    import xxhash
 
+    places = [(NULL_ID if i is None else i, int.from_bytes(xxhash.xxh64((t or "").encode(), seed=42).digest(), signed=True)) for i, t in rows]
     lines = []
-    for i, t in rows:
+    for place, (_, t) in zip(places, rows, strict=True):
         for n, raw in enumerate((t or "").split("\n")):
             if s := frozenset("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in raw).encode().split()):
-                lines.append(((NULL_ID if i is None else i, n), s))
+                lines.append(((*place, n), s))
     gone = {p for p, s in lines if any(q < p and den * len(s & r) >= num * len(s | r) for q, r in lines)}
     out = []
-    for i, t in rows:
+    for place, (_, t) in zip(places, rows, strict=True):
         parts = (t or "").split("\n")
-        keep = [x for n, x in enumerate(parts) if ((NULL_ID if i is None else i), n) not in gone]
-        out.append((i, len(parts) if t else 0, len(parts) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest()))
+        out.append((len(parts) if t else 0, [x for n, x in enumerate(parts) if (*place, n) not in gone]))
     return out
+
+
+def brute_force(rows: list[tuple[int | None, str | None]], num: int = NUM, den: int = DEN) -> list[tuple]:
+    import hashlib
+
+    found = zip(rows, brute_texts(rows, num, den), strict=True)
+    return [(i, n, max(n, 1) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest()) for (i, _), (n, keep) in found]
