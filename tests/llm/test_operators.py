@@ -231,6 +231,30 @@ def test_html():
         html_extract.main_text(broken)
 
 
+LONG = "A long paragraph of the article with more than enough words in it to be taken for text by the score."
+
+
+@pytest.mark.parametrize("before", ["<p class=\"x\"\">", "<p><a title=it's>Link</a> ", "<p title=\"never closed>", "<p><a href=/x?a=\"b>c</a> ", "<datalist><option value=a><option value=b></datalist><p>", "<datalist><option value=b></datalist><p>", "<div><button>Menu</div><p>", "<button>Menu<p>", "<select><option>A<option>B</select><p>", "<div><object data=x></div><p>", "<map name=m><area><p>", "<div><iframe src=a></div><p>", "<noscript><p>", "<div><svg><title>Icon</div><p>", "<video src=x><p>", "<math><mi>x<p>"])
+@pytest.mark.parametrize("after", ["", "<p>Stray end tags </option></object></svg></textarea> and a single quote ' do no harm to this paragraph of words.</p>"])
+def test_html_keeps_what_follows_broken_markup(before, after):
+    got = html_extract.main_text(f"<body><article>{before}{LONG}</p><p>{LONG}</p>{after}</article></body>")
+    assert got.count(LONG) == 2 and (not after or "do no harm" in got)
+
+
+def test_html_drops_what_hidden_elements_hold():
+    inside = "<select><option>Red one</select><select><option>Red<option>Blue</option></select><button><div>Press <b>this</b></div></button><noscript><img src=\"x><p>Enable it</noscript><svg><title>Icon</title><svg><path></svg><p>shape</svg><object><object><p>no</p></object><p>plug-in</p></object><template><div>later</div></template><iframe src='a>b'>frame</iframe><video><p>old browser</p></video><datalist><option value=a>Ay<option>Bee</datalist>"
+    assert html_extract.main_text(f"<article><p>{LONG} {inside} {LONG}</p><p>{LONG}</p></article>") == f"{LONG} {LONG}\n{LONG}"
+
+
+def test_html_time_is_in_proportion():
+    import time
+
+    for piece in ("<p a=\"b' c='", "<object>", "<option>", "<svg><path>", "<a =\"'", "<noscript>", "<p a=", "<button><div>"):
+        start = time.process_time()
+        html_extract.blocks_of(piece * 20_000)
+        assert time.process_time() - start < 20, piece
+
+
 def test_minimum_cut_is_least():
     import itertools
 

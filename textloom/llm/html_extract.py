@@ -7,7 +7,10 @@ are tied by smoothness edges, stronger the more of the chain they share. The min
 labelling of least total cost; blocks on the content side are the text.
 
 Null and empty html gives an empty text. Broken markup is read as far as it goes: unclosed elements end with their
-parent, stray end tags are ignored, an unclosed comment, tag or script runs to the end. Each row is judged alone.
+parent, stray end tags are ignored, an unclosed comment, script, style, textarea or title runs to the end. A tag ends at
+its '>'; a quote hides one only around a value, after '=', and if it is closed. What a button, select, object and the
+like (HIDDEN) hold isn't text; one without an end tag of its own ends with its parent or before the next block-level
+tag. Each row is judged alone.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ from . import textops as T
 
 # Elements of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe noembed noframes template svg math select option button object canvas audio video map".split())
+RAW = frozenset("script style title textarea".split())
+HIDDEN = frozenset("noscript iframe noembed noframes template svg math select option button object canvas audio video map".split())
+PLAIN = frozenset("noscript iframe noembed noframes".split())  # hidden ones whose tags aren't tags
+NESTS = frozenset("template object svg math".split())  # hidden ones that may hold their like
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "table"), "th": ("td th", "table")}
 # Weights of the block score (positive: content).
@@ -34,9 +40,14 @@ NAMES = re.compile(
     r"(?<![a-z])(?:(ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscri\w*|sign-?up|log-?in|register|shar(?:e|ing)|socials?|related|recommend\w*|side-?bar|side|widgets?|menus?|nav(?:bar|igation)?|breadcrumbs?|pag(?:er|ination)|foot(?:er)?|head(?:er)?|masthead|comments?|commentlist|disqus|repl(?:y|ies)|respond|reactions?|toolbar|search|copyright|legal|disclaimer|hidden|skip)"
     r"|(article|main|content|story|post-?(?:body|content|text)|entry(?:-content)?|body-?text|article-?body|prose))(?![a-z])"
 )
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+")
+TAGS = re.compile(rf"<(/?)({'|'.join(sorted(HIDDEN))})(?=[\s/>])", re.I)
 SPACE = re.compile(r"\s+")
 UNIT = 16  # capacities are whole numbers of 1 / UNIT
 
@@ -59,7 +70,7 @@ class Element:
                             own += 2
                         elif not (bad.startswith("head") and parent and parent.inside) and tag not in ("body", "html"):
                             own -= 9
-                elif k == "hidden" or k == "style" and HIDDEN.search(v.lower()) or k == "aria-hidden" and "true" in v.lower():
+                elif k == "hidden" or k == "style" and UNSEEN.search(v.lower()) or k == "aria-hidden" and "true" in v.lower():
                     own -= 20
         self.bias = own + (parent.bias if parent else 0)
         if own <= -9 and parent and parent.bias > 0:
@@ -73,16 +84,35 @@ class Block:
         self.text, self.element, self.links = text, element, links
 
 
+def ended(page: str) -> dict[int, int]:
+    """Where the hidden elements that have an end tag of their own begin, and where that tag begins."""
+    out: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for m in TAGS.finditer(page):
+        tag = m[2].lower()
+        starts = begun.setdefault(tag, [])
+        if not m[1]:
+            if tag not in NESTS:
+                starts.clear()
+            starts.append(m.start())
+        elif starts:
+            out[starts.pop()] = m.start()
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     root = Element("#", "", None)
     stack, out, parts, links = [root], [], [], [0]
     state = {"a": 0}
+    hidden: list[tuple[int, bool]] = []  # places on the stack, and whether a block-level tag ends the element
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                where = next(e for e in reversed(stack) if e.tag in BLOCK or e.tag == "#")
+                seen = range((hidden[0][0] if hidden else len(stack)) - 1, -1, -1)
+                where = next(stack[i] for i in seen if stack[i].tag in BLOCK or stack[i].tag == "#")
                 out.append(Block(text, where, min(1.0, links[0] / len(text))))
             parts.clear()
         links[0] = 0
@@ -92,9 +122,11 @@ def blocks_of(page: str) -> list[Block]:
             if e.tag == "a":
                 state["a"] -= 1
         del stack[i:]
+        while hidden and hidden[-1][0] >= i:
+            hidden.pop()
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and not hidden:
             text = entities.unescape(raw)
             parts.append(text)
             if state["a"]:
@@ -113,21 +145,26 @@ def blocks_of(page: str) -> list[Block]:
         tag = m[2].lower()
         if m[1]:
             if tag == "p" and not any(e.tag == "p" for e in stack):
-                flush()
+                if not hidden:
+                    flush()
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    if any(e.tag in BLOCK for e in stack[i:]):
+                    if (not hidden or i < hidden[0][0]) and any(e.tag in BLOCK for e in stack[i:]):
                         flush()
                     close(i)
                     break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
+                if tag not in BLOCK and tag not in HIDDEN and stack[i].tag in BLOCK:
                     break  # an inline end tag doesn't close blocks
             continue
+        if tag in BLOCK:
+            while hidden and hidden[-1][1]:
+                close(hidden[-1][0])
         if tag == "br":
-            parts.append(" ")
+            if not hidden:
+                parts.append(" ")
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and not hidden:
             flush()
             if tag in CLOSES:
                 same, limit = (x.split() for x in CLOSES[tag])
@@ -145,15 +182,32 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if tag in VOID:
             continue
+        alone = m[3].rstrip().endswith("/")
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not hidden:
+                parts.append(" ")
+            if not alone:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
-            parts.append(" ")
+                if end or not any(stack[i].tag in ("svg", "math") for i, _ in hidden):
+                    at = end.end() if end else n
+            continue
+        if tag in HIDDEN:
+            if not hidden:
+                parts.append(" ")
+            if alone:
+                continue
+            if tag == "option" and stack[-1].tag == "option":
+                close(len(stack) - 1)
+            if ends is None:
+                ends = ended(page)
+            if tag in PLAIN and m.start() in ends:
+                at = max(at, ends[m.start()])  # the end tag is read next
+            hidden.append((len(stack), m.start() not in ends))
+        elif hidden and alone:
             continue
         if tag == "a":
             state["a"] += 1
-        stack.append(Element(tag, m[3], stack[-1]))
+        stack.append(Element(tag, "" if hidden else m[3], stack[-1]))
     flush()
     return out
 
