@@ -78,3 +78,47 @@ def test_governance_edges(spark):
     faults = G.sequence_faults(seq("a", "x", "c", "d"), seq("a", "b"), seq("c"), "i", "v").collect()
     assert sorted((r.i, r.fault) for r in faults) == [(1, "different"), (3, "extra")]
     assert G.sequence_faults(seq("a"), seq("a").limit(0), seq("a"), "i", "v").collect() == []
+
+
+def test_queries_fold_compatibility_characters(spark, tmp_path):
+    import hashlib
+    import re
+    import unicodedata
+    from collections import Counter
+
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t)
+    plain_text = "The first offices of the final flight were 25 metres high"
+    docs = [(1, wide(plain_text), "a"), (2, plain_text, "a"), (3, plain_text.replace("fi", "ﬁ").replace("ffi", "ﬃ").replace("25", "²⁵"), "b"), (4, "Ⅷ ﬂags ™ ½", "b"), (5, "Nothing of the kind", "b"), (6, wide(plain_text) + " and so on", "a")]
+    items = [(1, plain_text), (2, "viii flags tm 1 2")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+
+    def norm(t):
+        return " ".join(re.sub("[^a-z0-9 ]", " ", unicodedata.normalize("NFKC", t).lower()).split())
+
+    def grams(t):
+        s = norm(t).replace(" ", "")
+        return {s[i : i + 5] for i in range(max(1, len(s) - 4))}
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    like = lambda a, b: len(a & b) / len(a | b)
+    want, best = set(), {}
+    for i, t, _ in docs:
+        for j, u in items:
+            a, b = norm(t), norm(u)
+            if a == b:
+                want.add((i, "normalized_exact_match", j, None))
+            elif min(len(a), len(b)) >= 20 and (a in b or b in a):
+                want.add((i, "normalized_containment", j, None))
+            w, g = like(set(a.split()), set(b.split())), like(grams(t), grams(u))
+            want |= {(i, "token_jaccard_threshold", j, round(w, 6))} if w >= 0.15 else set()
+            want |= {(i, "character_5gram_jaccard_threshold", j, round(g, 6))} if g >= 0.1 else set()
+            if w > best.get(i, (0, 0))[0]:
+                best[i] = (w, j)
+    assert {(r.left_id, r.kind, r.right_id, r.score) for r in run("collision_screen")} == want
+    assert {(r.left_id, r.score, r.right_id) for r in run("nearest_reference")} == {(i, round(w, 9), j) for i, (w, j) in best.items()}
+    many = Counter(norm(t) for _, t, _ in docs)
+    assert {(r.fingerprint, r.n, r.first_id) for r in run("duplicate_texts")} == {(sha(k), n, min(i for i, t, _ in docs if norm(t) == k)) for k, n in many.items() if n > 1} != set()
+    assert {(r.doc_id, r.norm_sha256, r.n_tokens, r.n_grams) for r in run("text_profile")} == {(i, sha(norm(t)), len(set(norm(t).split())), len(grams(t))) for i, t, _ in docs}
+    assert {(r.source, r.n, r.content_sha256) for r in run("pool_fingerprint")} == {(s, len(x), sha("\n".join(sorted(x)))) for s in "ab" for x in [[norm(t) for _, t, q in docs if q == s]]}

@@ -42,7 +42,7 @@ CAST(len(list_filter(tok, lambda w: w NOT IN ({STOP}))) AS BIGINT) AS n_filtered
 CAST(len({GRAMS}) AS BIGINT) AS n_grams FROM t""")
 def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1, T2, T4, T5, T6, T9."""
-    d = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text"), False).alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("n"))
     n = F.col("n")
     return d.select("doc_id", F.sha2(n, 256).alias("norm_sha256"), F.length(F.replace(n, F.lit(" "), F.lit(""))).cast("long").alias("norm_chars"), F.size(T.tokens(n)).cast("long").alias("n_tokens"), F.size(T.filtered_tokens(n)).cast("long").alias("n_filtered"), F.size(T.content_tokens(n)).cast("long").alias("n_content"), F.size(T.char_grams(n)).cast("long").alias("n_grams"))
 
@@ -76,14 +76,14 @@ UNION ALL SELECT a, 'character_5gram_jaccard_threshold', b, round(og / (sg - og)
 def collision_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 with all four kinds (T8, C9 and C10's exact part), documents against the benchmark."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return C.screen(docs.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("id"), "text"), nfkc=False)
+    return C.screen(docs.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("id"), "text"))
 
 
 @query(_COLLIDE + " SELECT a AS left_id, round(ow / (sw - ow), 9) AS score, min(b) AS right_id FROM p WHERE ow > 0 QUALIFY ow / (sw - ow) = max(ow / (sw - ow)) OVER (PARTITION BY a) GROUP BY a, ow, sw".replace(" QUALIFY ow / (sw - ow) = max(ow / (sw - ow)) OVER (PARTITION BY a) GROUP BY a, ow, sw", " AND (a, ow / (sw - ow)) IN (SELECT (a, max(ow / (sw - ow))) FROM p GROUP BY a) GROUP BY a, round(ow / (sw - ow), 9)"))
 def nearest_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best token score and the first reference that has it."""
     def side(name: str, key: str) -> DataFrame:
-        return table(spark, sf_dir, name).select(F.col(key).alias("id"), T.tokens(T.normalize(F.col("text"), False)).alias("elements"))
+        return table(spark, sf_dir, name).select(F.col(key).alias("id"), T.tokens(T.normalize(F.col("text"))).alias("elements"))
 
     best = C.nearest(C.overlap_scores(side("documents", "doc_id"), side("benchmark", "item_id"), "score"), "score")
     return best.select("left_id", F.round("score", 9).alias("score"), "right_id")
@@ -92,7 +92,7 @@ def nearest_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT sha256({NORM}) AS fingerprint, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C9, A20."""
-    return C.duplicate_groups(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), nfkc=False)
+    return C.duplicate_groups(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,5 +298,5 @@ def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH n AS (SELECT source, {NORM} AS norm FROM documents) SELECT source, count(*) AS n, sha256(string_agg(norm, chr(10) ORDER BY norm)) AS content_sha256 FROM n GROUP BY source")
 def pool_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted normalized texts of a source, joined by a line feed. The hash needs a source's texts together."""
-    n = table(spark, sf_dir, "documents").select("source", T.normalize(F.col("text"), False).alias("norm"))
+    n = table(spark, sf_dir, "documents").select("source", T.normalize(F.col("text")).alias("norm"))
     return n.groupBy("source").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("norm")), "\n"), 256).alias("content_sha256"))
