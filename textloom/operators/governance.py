@@ -1,9 +1,12 @@
-"""Linkage, provenance, eligibility and comparison checks over governed tables. Every check is a join or an aggregate; none gathers a table."""
+"""Linkage, provenance, eligibility and comparison checks over governed tables. Every check is a join or an aggregate; none gathers a table, only sorted_content() reads one through the driver, a partition at a time."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PREFIX = "^sha256:"
 
@@ -88,3 +91,53 @@ def roll_up(findings: list[tuple[str, DataFrame]]) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place in the order, from 0, without gathering them in one task."""
+    at = rows.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    return rows.sparkSession.createDataFrame(at, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def ordered_diff(old: DataFrame, new: DataFrame, key: str, ordinal: str, fields: list[str]) -> DataFrame:
+    """key, change and moved. change: repeated (in either table), only_old, only_new, changed or same; moved: whether the rows that both have once stand at other places among each other."""
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.groupBy(key).agg(F.count("*").alias(f"__n{p}"), F.min(ordinal).alias(f"__at{p}"), *(F.min(f).alias(f"__{p}_{f}") for f in fields))
+
+    j = side(old, "o").join(side(new, "n"), key, "full")
+    differs = F.lit(False)
+    for f in fields:
+        differs = differs | ~F.col(f"__o_{f}").eqNullSafe(F.col(f"__n_{f}"))
+    change = F.when((F.col("__no") > 1) | (F.col("__nn") > 1), "repeated").when(F.col("__nn").isNull(), "only_old").when(F.col("__no").isNull(), "only_new").when(differs, "changed").otherwise("same")
+    j = j.select(key, change.alias("change"), "__ato", "__atn")
+    both = j.where(F.col("change").isin("changed", "same"))
+    place = [numbered(both.select(key, c), [c, key], f"{c}_place").select(key, f"{c}_place") for c in ("__ato", "__atn")]
+    moved = place[0].join(place[1], key).select(key, (F.col("__ato_place") != F.col("__atn_place")).alias("moved"))
+    return j.join(moved, key, "left").select(key, "change", F.coalesce("moved", F.lit(False)).alias("moved"))
+
+
+def unauthorized(changes: DataFrame, allowed: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key, fault where the changed rows (key, changed_fields) aren't the allow-list's: unexpected, not_changed, or forbidden_fields if others than ``fields`` changed."""
+    a = allowed.select(key).distinct().withColumn("__a", F.lit(True))
+    j = changes.where(F.size("changed_fields") > 0).join(a, key, "full")
+    forbidden = F.size(F.array_except("changed_fields", F.array(*map(F.lit, fields)))) > 0
+    fault = F.when(F.col("__a").isNull(), "unexpected").when(F.col("changed_fields").isNull(), "not_changed").when(forbidden, "forbidden_fields")
+    return j.select(key, fault.alias("fault")).where("fault is not null")
+
+
+def unmatched_ids(expected: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """key, side of the ids that only one table has: missing from the results, or extra there."""
+    a, b = (d.select(key).distinct().withColumn(c, F.lit(True)) for d, c in ((expected, "__e"), (results, "__r")))
+    side = F.when(F.col("__r").isNull(), "missing").when(F.col("__e").isNull(), "extra")
+    return a.join(b, key, "full").select(key, side.alias("side")).where("side is not null")
+
+
+def sorted_content(rows: DataFrame, text: str) -> tuple[int, str]:
+    """How many rows, and the hash of their texts, sorted and joined by a line feed; one partition at a time comes to the driver."""
+    h, n, first = hashlib.sha256(), 0, True
+    for r in rows.select(text).orderBy(F.col(text).asc_nulls_first()).toLocalIterator():
+        n += 1
+        if r[0] is not None:
+            h.update(r[0].encode() if first else b"\n" + r[0].encode())
+            first = False
+    return n, h.hexdigest()

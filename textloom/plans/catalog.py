@@ -140,7 +140,7 @@ def flatten_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT lang, source, sum(p) AS k, count(*) AS n FROM s GROUP BY GROUPING SETS ((), (lang), (source)))
 SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, CAST(k AS BIGINT) AS passed, n AS total, CAST(k AS VARCHAR) || '/' || n || ' (' || CAST(CAST(round_even(100.0 * k / n, 0) AS INTEGER) AS VARCHAR) || '%)' AS rate FROM g""")
 def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1, A4, J1."""
+    """A1, A4, over the ids that both tables have; id_set_faults names the others."""
     l, d = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     ok = K.probe_passes(F.lit(True), F.create_map(F.lit("quality"), F.col("quality") * 2), F.array(F.lit("quality")), F.create_map(F.lit("clean"), F.col("toxic") == 0))
     s = l.join(d, "doc_id").select("lang", "source", ok.cast("long").alias("p"))
@@ -224,7 +224,7 @@ def manifest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN a.lang IS NULL THEN 'added' WHEN b.lang IS NULL THEN 'removed' WHEN a.lang <> b.lang THEN 'changed' ELSE 'same' END AS change,
 CASE WHEN a.lang <> b.lang THEN ['lang'] ELSE [] END AS changed_fields FROM a FULL JOIN b USING (doc_id)""")
 def corpus_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J4, J12, O3."""
+    """O3: by id, without order (J4: corpus_order_diff) or an allow-list (J12: change_authorization)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     new = d.where("doc_id % 11 <> 0").withColumn("lang", F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")))
     return K.diff(d.where("doc_id % 7 <> 0"), new, "doc_id", ["lang", "source"])
@@ -290,13 +290,13 @@ def transition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, list_filter([CASE WHEN trim(text) = '' THEN 'blank_text' END, CASE WHEN n_chars > 5000 THEN 'too_long' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'language' END], lambda x: x IS NOT NULL) AS violations FROM documents")
 def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All broken rules of a row, in order."""
+    """V1, V2 in part (rules on columns, not the record's shape or exact keys): all broken rules of a row, in order."""
     rules = [("blank_text", F.trim("text") != ""), ("too_long", F.col("n_chars") <= 5000), ("language", F.col("lang").isin("en", "de"))]
     return table(spark, sf_dir, "documents").select("doc_id", K.violations(rules).alias("violations"))
 
 
 @query(f"WITH n AS (SELECT source, {NORM} AS norm FROM documents) SELECT source, count(*) AS n, sha256(string_agg(norm, chr(10) ORDER BY norm)) AS content_sha256 FROM n GROUP BY source")
 def pool_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sorted normalized texts of a source, joined by a line feed. The hash needs a source's texts together."""
+    """F7, A16 by source (pool_total has the row over all): sorted normalized texts of a source, joined by a line feed. The hash needs a source's texts together."""
     n = table(spark, sf_dir, "documents").select("source", T.normalize(F.col("text")).alias("norm"))
     return n.groupBy("source").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("norm")), "\n"), 256).alias("content_sha256"))

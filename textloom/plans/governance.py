@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import governance as G
-from .catalog import query, table
+from ..functions import text as T
+from ..operators import curation as K
+from .catalog import _RECORDS, NORM, _records, query, table
 
 FP = "sha256(text)"
 
 
 @query(f"SELECT doc_id, n_sharing FROM (SELECT doc_id, count(*) OVER (PARTITION BY {FP}) AS n_sharing FROM documents WHERE text IS NOT NULL) WHERE n_sharing > 1")
 def shared_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V4: records that share a source fingerprint."""
+    """V4 in part (not the pilot's rule on holdout records): records that share a source fingerprint."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("fp"))
     return G.shared_fingerprints(d, "fp").select("doc_id", "n_sharing")
 
@@ -89,7 +91,7 @@ def base_plus_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN b.p IS NULL THEN 'only_a' WHEN a.p IS NULL THEN 'only_b' WHEN a.p = b.p THEN 'same' WHEN b.p THEN 'fixed' ELSE 'broken' END AS change
 FROM (SELECT doc_id, quality = 1 AS p FROM labels WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, quality = 1 AND toxic = 0 OR doc_id % 8 = 0 AS p FROM labels WHERE doc_id % 7 <> 0) b USING (doc_id)""")
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record's change between two runs."""
+    """A24 in part (no strict rate, failures by dimension, format validity or coverage): each record's change between two runs."""
     d = table(spark, sf_dir, "labels")
     a = d.where("doc_id % 5 <> 0").select("doc_id", (F.col("quality") == 1).alias("p"))
     return G.compare_runs(a, d.where("doc_id % 7 <> 0").selectExpr("doc_id", "quality = 1 and toxic = 0 or doc_id % 8 = 0 as p"), "doc_id", "p")
@@ -119,3 +121,57 @@ def active_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active records, whether they begin as an exemplar does."""
     active = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
     return table(spark, sf_dir, "documents").join(active, "doc_id").select("doc_id", F.col("text").startswith("The ").alias("exemplar"))
+
+
+@query("""WITH o AS (SELECT sha256(text) AS h, doc_id AS pos, lang FROM documents WHERE doc_id % 97 <> 0 AND text IS NOT NULL), w AS (SELECT sha256(text) AS h, CASE WHEN doc_id % 50 = 1 THEN doc_id + 5 ELSE doc_id END AS pos, CASE WHEN doc_id % 31 = 0 THEN 'xx' ELSE lang END AS lang FROM documents WHERE doc_id % 89 <> 0 AND text IS NOT NULL),
+a AS (SELECT h, count(*) AS n, min(pos) AS pos, min(lang) AS lang FROM o GROUP BY h), b AS (SELECT h, count(*) AS n, min(pos) AS pos, min(lang) AS lang FROM w GROUP BY h),
+j AS (SELECT h, a.pos AS x, b.pos AS y, CASE WHEN a.n > 1 OR b.n > 1 THEN 'repeated' WHEN b.n IS NULL THEN 'only_old' WHEN a.n IS NULL THEN 'only_new' WHEN a.lang IS DISTINCT FROM b.lang THEN 'changed' ELSE 'same' END AS change FROM a FULL JOIN b USING (h)),
+p AS (SELECT h, row_number() OVER (ORDER BY x, h) <> row_number() OVER (ORDER BY y, h) AS moved FROM j WHERE change IN ('changed', 'same'))
+SELECT h AS input_sha256, change, coalesce(moved, false) AS moved FROM j LEFT JOIN p USING (h)""")
+def corpus_order_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus against another by input hash, with identity, content and order."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("input_sha256"), "lang")
+    new = d.where("doc_id % 89 <> 0").selectExpr("input_sha256", "case when doc_id % 50 = 1 then doc_id + 5 else doc_id end as at", "case when doc_id % 31 = 0 then 'xx' else lang end as lang")
+    return G.ordered_diff(d.where("doc_id % 97 <> 0").withColumnRenamed("doc_id", "at"), new, "input_sha256", "at", ["lang"])
+
+
+@query("""WITH c AS (SELECT doc_id, doc_id % 6 = 0 AS l, doc_id % 20 = 0 AS s FROM documents), a AS (SELECT doc_id, doc_id % 12 = 0 OR doc_id % 35 = 0 AS ok FROM documents)
+SELECT doc_id, CASE WHEN (l OR s) AND NOT ok THEN 'unexpected' WHEN ok AND NOT (l OR s) THEN 'not_changed' ELSE 'forbidden_fields' END AS fault FROM c JOIN a USING (doc_id) WHERE (l OR s) <> ok OR (ok AND s)""")
+def change_authorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changed records are the allow-list's, and only allowed fields changed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    new = d.selectExpr("doc_id", "if(doc_id % 6 = 0, lang || '+', lang) as lang", "if(doc_id % 20 = 0, source || '+', source) as source")
+    return G.unauthorized(K.diff(d, new, "doc_id", ["lang", "source"]), d.where("doc_id % 12 = 0 or doc_id % 35 = 0"), "doc_id", ["lang"])
+
+
+@query("SELECT doc_id, CASE WHEN l.i IS NULL THEN 'missing' ELSE 'extra' END AS side FROM (SELECT doc_id, doc_id AS i FROM documents WHERE doc_id % 10 <> 3) d FULL JOIN (SELECT doc_id, doc_id AS i FROM labels) l USING (doc_id) WHERE d.i IS NULL OR l.i IS NULL")
+def id_set_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids without a result and results without an id; none means that the sets are equal."""
+    return G.unmatched_ids(table(spark, sf_dir, "documents").where("doc_id % 10 <> 3"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(f"SELECT count(*) AS n, sha256(string_agg(norm, chr(10) ORDER BY norm)) AS content_sha256 FROM (SELECT {NORM} AS norm FROM documents)")
+def pool_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row over all sources, beside pool_fingerprint's row for each."""
+    n, digest = G.sorted_content(table(spark, sf_dir, "documents").select(T.normalize(F.col("text")).alias("norm")), "norm")
+    return spark.createDataFrame([(n, digest)], "n long, content_sha256 string")
+
+
+@query(_RECORDS + """ SELECT conv_id, list_filter([CASE WHEN trim(coalesce(narrative, '')) = '' THEN 'narrative_missing_or_blank' END, CASE WHEN list_contains(bullets, '') THEN 'bullets_malformed_or_contains_blank' END,
+CASE WHEN NOT list_contains(bullets, '') AND len(bullets) > 7 THEN 'bullets_exceeds_dataset_spec_max_7' END, CASE WHEN NOT list_contains(bullets, '') AND len(bullets) NOT BETWEEN 2 AND 8 THEN 'bullets_outside_gemini_schema_bounds_2_to_8' END,
+CASE WHEN list_contains(actions, '') THEN 'action_items_malformed_or_contains_blank' END, CASE WHEN len(actions) = 0 THEN 'action_items_empty_conflicts_with_gemini_schema_minitems_1' END,
+CASE WHEN NOT list_contains(actions, '') AND len(actions) > 6 THEN 'action_items_exceeds_gemini_schema_max_6' END], lambda x: x IS NOT NULL) AS findings FROM r""")
+def schema_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of both contracts and blank items, all findings of a record; keys are fixed by the columns here."""
+    b, a = F.col("bullets"), F.col("actions")
+    clean = lambda x: ~F.array_contains(x, "")
+    rules = [
+        ("narrative_missing_or_blank", F.trim("narrative") != ""),
+        ("bullets_malformed_or_contains_blank", clean(b)),
+        ("bullets_exceeds_dataset_spec_max_7", ~clean(b) | (F.size(b) <= 7)),
+        ("bullets_outside_gemini_schema_bounds_2_to_8", ~clean(b) | F.size(b).between(2, 8)),
+        ("action_items_malformed_or_contains_blank", clean(a)),
+        ("action_items_empty_conflicts_with_gemini_schema_minitems_1", F.size(a) > 0),
+        ("action_items_exceeds_gemini_schema_max_6", ~clean(a) | (F.size(a) <= 6)),
+    ]
+    return _records(spark, sf_dir).select("conv_id", K.violations(rules).alias("findings"))
