@@ -54,6 +54,17 @@ def kept_rows(rows, *args):
     return [r for r, (d, n, c) in zip(rows, ngram_join.brute_force(rows, *args), strict=True) if n == 0 or c is None or d == c]
 
 
+def test_link_counts(spark):
+    rows = odd_ids()
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    want = [(i, len(s), sum(j != n and bool(s) and 100 * len(s & o) >= 80 * len(s | o) for j, o in enumerate(sets))) for n, ((i, _), s) in enumerate(zip(rows, sets, strict=True))]
+    assert any(0 < x < 29 for _, _, x in want)
+    same(ngram_join.link_counts(spark, frame(spark, rows)).collect(), want)
+
+
 def odd_ids():
     """Rows without an id, and rows that repeat one with another text, some of them near copies."""
     rows, base = corpus(), words(50)

@@ -280,8 +280,8 @@ def can_reach(n1: str, n2: str, most1: str, most2: str, num: int, den: int) -> C
     return den * both >= num * (F.col(n1) + F.col(n2) - both)
 
 
-def labelled(spark: SparkSession, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """doc_id, row (hash of the text), n_shingles and component_id of every row of ``docs``."""
+def vertices(spark: SparkSession, docs: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, row, n, fp); members (sig, node, n, centre, most) of the groups that share a prefix n-gram; the members' sets in parts."""
     described = materialize(spark, describe(docs, shingle), "sets")
     meta = described.where("not hot").select("doc_id", "row", "n", "fp")
     hot_rows = described.where("hot").groupBy("fp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "fp").limit(MAX_HOT).collect()
@@ -293,13 +293,17 @@ def labelled(spark: SparkSession, docs: DataFrame, shingle: int, num: int, den:
     most = prefix.groupBy("node").agg(F.max("most").alias("most"))
     members = materialize(spark, prefix.drop("most").distinct().join(centres, "sig").join(most, "node"), "buckets")
     drop_path(spark, prefix.table_path)
+    wanted = members.select("node").union(members.select("centre")).distinct()
+    holders = meta.where("n > 0").groupBy(F.col("fp").alias("node")).agg(F.min(id_key()).alias("key"))
+    return meta, members, materialize(spark, segments(docs, holders.join(wanted, "node"), shingle), "segments")
 
+
+def labelled(spark: SparkSession, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """doc_id, row (hash of the text), n_shingles and component_id of every row of ``docs``."""
+    meta, members, parts = vertices(spark, docs, shingle, num, den)
     centre_of = members.where("node = centre").select("sig", F.col("n").alias("nc"), F.col("most").alias("mc"))
     stars = members.where("node <> centre").join(centre_of, "sig").where(can_reach("n", "nc", "most", "mc", num, den)).groupBy("centre", "node").agg(F.count("*").alias("count")).groupBy("node").agg(F.max(F.struct("count", (-F.col("centre")).alias("other"))).alias("best"))
     first = materialize(spark, stars.select((-F.col("best.other")).alias("a"), F.col("node").alias("b")), "pairs")
-    wanted = members.select("node").union(members.select("centre")).distinct()
-    holders = meta.where("n > 0").groupBy(F.col("fp").alias("node")).agg(F.min(id_key()).alias("key"))
-    parts = materialize(spark, segments(docs, holders.join(wanted, "node"), shingle), "segments")
     links = materialize(spark, verified(first, parts, num, den), "links")
     label = connected_components(spark, links)
 
@@ -346,6 +350,25 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int =
     return keyed.join(gone.select(id_key().alias("__key"), F.col("row").alias("__row")).distinct(), ["__key", "__row"], "left_anti").select(*docs.columns)
 
 
+def link_counts(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and n_links of every row of ``docs``: how many other rows have a similar set.
+
+    Unlike the components, this tests every pair of different sets that share a prefix n-gram, in a group of n near copies n² / 2.
+    """
+    meta, members, parts = vertices(spark, docs, shingle, num, den)
+    a, b = (members.select("sig", *(F.col(c).alias(f"{c}{x}") for c in ("node", "n", "most"))) for x in "ab")
+    pairs = a.join(b, "sig").where((F.col("nodea") < F.col("nodeb")) & can_reach("na", "nb", "mosta", "mostb", num, den)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    pairs = materialize(spark, pairs, "pairs")
+    links = materialize(spark, verified(pairs, parts, num, den), "links")
+    copies = meta.where("n > 0").groupBy("fp").agg(F.count("*").alias("copies"))
+    two_ways = links.select("a", "b").union(links.select("b", "a")).toDF("fp", "other")
+    near = two_ways.join(copies.toDF("other", "rows"), "other").groupBy("fp").agg(F.sum("rows").alias("near"))
+    counts = copies.join(near, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    for done in (members, parts, pairs):
+        drop_path(spark, done.table_path)
+    return meta.join(counts, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85, 100)
 
