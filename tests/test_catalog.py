@@ -122,3 +122,11 @@ def test_queries_fold_compatibility_characters(spark, tmp_path):
     assert {(r.fingerprint, r.n, r.first_id) for r in run("duplicate_texts")} == {(sha(k), n, min(i for i, t, _ in docs if norm(t) == k)) for k, n in many.items() if n > 1} != set()
     assert {(r.doc_id, r.norm_sha256, r.n_tokens, r.n_grams) for r in run("text_profile")} == {(i, sha(norm(t)), len(set(norm(t).split())), len(grams(t))) for i, t, _ in docs}
     assert {(r.source, r.n, r.content_sha256) for r in run("pool_fingerprint")} == {(s, len(x), sha("\n".join(sorted(x)))) for s in "ab" for x in [[norm(t) for _, t, q in docs if q == s]]}
+
+
+def test_base_plus_delta_takes_the_size_of_its_base(spark, tmp_path):
+    base, delta = [f"N{i}" for i in range(7)], [f"R{i}" for i in range(8)]
+    spark.createDataFrame(list(enumerate(base)), "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame(list(enumerate(delta)), "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    got = entry.queries()["base_plus_delta"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(4, "missing"), (5, "different"), (11, "different")}

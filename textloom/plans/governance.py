@@ -80,10 +80,10 @@ def reuse_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH base AS (SELECT n_nationkey AS i, n_name AS v FROM nation), delta AS (SELECT r_regionkey AS i, r_name AS v FROM region), want AS (SELECT i, v FROM base UNION ALL SELECT i + (SELECT count(*) FROM base), v FROM delta),
 got AS (SELECT i, CASE WHEN i % 6 = 5 THEN lower(v) ELSE v END AS v FROM want WHERE i % 13 <> 4) SELECT i AS ordinal, fault FROM (SELECT i, CASE WHEN g.i IS NULL THEN 'missing' WHEN g.v <> w.v THEN 'different' END AS fault FROM want w LEFT JOIN got g USING (i)) WHERE fault IS NOT NULL""")
 def base_plus_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A candidate corpus is the base and then the delta, in order."""
+    """J11, J14, O1 on two small tables: a candidate is the base and then the delta, in order; corpus_base_plus_delta takes a corpus."""
     base = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("v"))
     delta = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("ordinal"), F.col("r_name").alias("v"))
-    made = base.union(delta.withColumn("ordinal", F.col("ordinal") + 25)).where("ordinal % 13 <> 4")
+    made = base.union(delta.withColumn("ordinal", F.col("ordinal") + base.count())).where("ordinal % 13 <> 4")
     made = made.withColumn("v", F.when(F.col("ordinal") % 6 == 5, F.lower("v")).otherwise(F.col("v")))
     return G.sequence_faults(made, base, delta, "ordinal", "v")
 
@@ -175,3 +175,14 @@ def schema_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("action_items_exceeds_gemini_schema_max_6", ~clean(a) | (F.size(a) <= 6)),
     ]
     return _records(spark, sf_dir).select("conv_id", K.violations(rules).alias("findings"))
+
+
+@query("""WITH b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, text FROM documents WHERE doc_id % 4 <> 0), d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, text FROM documents WHERE doc_id % 4 = 0),
+want AS (SELECT i, text FROM b UNION ALL SELECT i + (SELECT count(*) FROM b), text FROM d) SELECT i AS ordinal, CASE WHEN i % 13 = 4 THEN 'missing' ELSE 'different' END AS fault FROM want WHERE i % 13 = 4 OR (i % 6 = 5 AND text IS NOT NULL)""")
+def corpus_base_plus_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole candidate corpus is the base and then the delta, in order."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("v"))
+    base, delta = (G.numbered(d.where(x), ["doc_id"], "ordinal") for x in ("doc_id % 4 <> 0", "doc_id % 4 = 0"))
+    made = base.union(delta.withColumn("ordinal", F.col("ordinal") + base.count())).where("ordinal % 13 <> 4")
+    made = made.withColumn("v", F.when(F.col("ordinal") % 6 == 5, F.concat("v", F.lit("+"))).otherwise(F.col("v")))
+    return G.sequence_faults(made, base, delta, "ordinal", "v")
