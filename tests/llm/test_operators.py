@@ -112,6 +112,15 @@ def test_line_dedup_tells_rows_apart(spark):
     same(line_dedup.op4(spark, at).collect(), line_dedup.brute_force(rows))
 
 
+def test_rarity_is_made_without_pandas(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("gathered by the driver"))
+    lines = spark.createDataFrame([([5 << 20, 9 << 20],), ([5 << 20],), ([5 << 20, (1 << 40) - 1],)] + [([9 << 20],)] * 3 + [([-1],)] * 5000, "words array<long>")
+    scale = line_dedup.rarity(lines)
+    assert len(scale) == line_dedup.BUCKETS and {i: x for i, x in enumerate(scale) if x} == {5: 9, 9: 12, line_dedup.BUCKETS - 1: 73}
+
+
 def brute_cut(text, hit):
     """Text without the runs of hit words, each from its first word's start to its last word's end."""
     import re

@@ -19,7 +19,6 @@ told apart: they share places and don't remove each other's lines.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,16 +61,14 @@ def bucket(word: Column) -> Column:
     return F.shiftrightunsigned(word, 20).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity(spark: SparkSession, lines: DataFrame) -> bytearray:
-    """A byte for each bucket of words: on a logarithmic scale, how many lines have them; 0 for one at most. Collects BUCKETS counters."""
-    counts = lines.select(F.explode("words").alias("w")).groupBy(bucket(F.col("w")).alias("b")).count()
-    counts = materialize(spark, counts, "counts")
-    n = np.zeros(BUCKETS, np.float64)
-    for part in range(16):  # a part at a time, for the driver's memory
-        rows = counts.where(F.col("b") % 16 == part).toPandas()
-        n[rows["b"].to_numpy()] = rows["count"].to_numpy()
-    drop_path(spark, counts.table_path)
-    return bytearray(np.where(n > 1, np.minimum(127, np.floor(np.log2(np.maximum(n, 1)) * 6)), 0).astype(np.uint8).tobytes())
+def rarity(lines: DataFrame) -> bytearray:
+    """A byte for each bucket of words: on a logarithmic scale, how many lines have them; 0 for one at most. BUCKETS counters become one binary."""
+    counts = lines.select(F.explode("words").alias("w")).groupBy(bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
+    every = counts.union(lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int"), F.lit(0).cast("long"))).groupBy("b").agg(F.max("n").alias("n"))
+    level = F.when(F.col("n") > 1, F.least(F.lit(127), F.floor(F.log2("n") * 6).cast("int"))).otherwise(0)
+    joined = lambda key, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value]), "")
+    parts = every.select("b", F.lpad(F.hex(level), 2, "0").alias("x")).groupBy(F.shiftright("b", 10).alias("part")).agg(joined("b", "x").alias("xs"))
+    return bytearray(parts.agg(F.unhex(joined("part", "xs"))).first()[0])
 
 
 def prefixes(lines: DataFrame, scale: bytearray, num: int, den: int) -> DataFrame:
@@ -93,7 +90,7 @@ def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int =
     """key, row, line of every line with an earlier match."""
     lines = materialize(spark, lines_of(docs).select("key", "row", "line", fingerprint(F.col("words")).alias("fp"), "words"), "lines")
     index = lines.select("key", "row", "line", "fp")
-    words = materialize(spark, prefixes(lines, rarity(spark, lines), num, den), "prefixes")
+    words = materialize(spark, prefixes(lines, rarity(lines), num, den), "prefixes")
     a, b = words.toDF("word", "fa", "na", "pa", "ua"), words.toDF("word", "fb", "nb", "pb", "ub")
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # this word and all after it
     before = F.least(F.col("pa") - F.col("ua"), F.col("pb") - F.col("ub"))
