@@ -114,11 +114,40 @@ def test_line_dedup_tells_rows_apart(spark):
 
 def test_rarity_is_made_without_pandas(spark, monkeypatch):
     from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
 
     monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("gathered by the driver"))
-    lines = spark.createDataFrame([([5 << 20, 9 << 20],), ([5 << 20],), ([5 << 20, (1 << 40) - 1],)] + [([9 << 20],)] * 3 + [([-1],)] * 5000, "words array<long>")
-    scale = line_dedup.rarity(lines)
-    assert len(scale) == line_dedup.BUCKETS and {i: x for i, x in enumerate(scale) if x} == {5: 9, 9: 12, line_dedup.BUCKETS - 1: 73}
+    texts = spark.createDataFrame([("once twice  often",), ("twice",)] + [("often often",)] * 500, "raw string")
+    size = line_dedup.FEWEST
+    scale = line_dedup.rarity(texts, size).first()["scale"]
+    at = spark.range(1).select(*(line_dedup.bucket(F.xxhash64(F.lit(w)), size).alias(w) for w in ("once", "twice", "often"))).first()
+    assert len(scale) == size and {i: x for i, x in enumerate(scale) if x} == {at.twice: 4, at.often: 39}
+
+
+def test_line_dedup_of_templates_writes_few_pairs(spark):
+    """Lines of ten common words and two of their own are no near copies; lines with one word changed are."""
+    common_words = words(10, [f"c{i}" for i in range(10000)])
+    rows = [(i, f"{common_words} a{i} b{i % 50}") for i in range(400)]
+    long = words(30, [f"d{i}" for i in range(10000)]).split()
+    rows += [(1000 + i, " ".join([*long[: i % 30], f"x{i}", *long[i % 30 + 1 :]])) for i in range(400)]
+    docs = frame(spark, rows)
+    vertex = line_dedup.vertices(spark, line_dedup.lines_of(docs))
+    texts = common.materialize(spark, line_dedup.vertex_texts(docs, vertex), "texts")
+    sets = common.materialize(spark, line_dedup.prefixes(texts, line_dedup.rarity(texts, 1 << 16), 1 << 16, 80, 100), "sets")
+    star = line_dedup.earliest(sets, 80, 100)
+    assert 390 < star.count() < line_dedup.PAIRS * len(rows)
+    settled = line_dedup.matching(spark, texts, star, 80, 100)
+    assert settled.count() >= 395
+    assert line_dedup.candidates(sets, settled, 80, 100).count() < 800
+    same([(r.doc_id, r.text) for r in line_dedup.remove_lines(spark, docs).collect()], [(i, "\n".join(k)) for (i, _), (_, k) in zip(rows, line_dedup.brute_texts(rows), strict=True)])
+
+
+def test_line_dedup_with_clashing_names(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, __key long, __gone long, __row long, P long")
+    out = line_dedup.remove_lines(spark, docs)
+    assert out.columns == docs.columns and out.select("__key", "__gone", "__row", "P").distinct().collect() == [(1, 2, 3, 4)]
+    same([(r.doc_id, r.text) for r in out.collect()], [(i, None if t is None else "\n".join(k)) for (i, t), (_, k) in zip(rows, line_dedup.brute_texts(rows), strict=True)])
 
 
 def brute_cut(text, hit):

@@ -24,6 +24,19 @@ def text_hash() -> Column:
     return F.xxhash64("text")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has; Spark takes names that differ in case only as one."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        name = f"__{n}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or an own one in local mode if it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

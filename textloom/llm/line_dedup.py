@@ -4,17 +4,27 @@ A line is the set of its words (runs without white space, A-Z lower-cased); it i
 by (doc_id, hash of the text, line number), has a Jaccard similarity of at least num / den with it, wherever that line is
 and whether or not it is removed itself. Blank lines stay.
 
-Plan: lines with equal sets become one set with its first place. Words are counted in BUCKETS hashed counters, a table
-of fixed size that every task gets as one binary literal; it orders each set's words, rarest first. Only the words of
-the prefix, with their positions, are dealt out by word and joined; the size and position filters stand in the join's
-condition. Words counted once are in one line only and aren't dealt out, nor are sets so small that similar means
-equal. Pairs are verified on the words' 64-bit hashes. A set's limit is the first place of it and of all similar sets; later
-lines go. Rows per line are (doc, text's hash, line, set), so a line of a third of all documents is one set in the join,
-and a 32-byte row elsewhere.
+Plan
+1. ``lines_of``: each line's place and 128-bit hash, 40 bytes a line. Equal lines become one vertex, its first place;
+   later copies are removed without any join of words. Vertices are numbered in the order of their places.
+2. ``rarity``: words are counted in hashed counters, a table of bounded size that tasks get as one array of bytes.
+3. ``prefixes``: a vertex's words in order, rarest first. Kept are its size, a 64-bit parity bitmap of its words, and
+   the prefix: so many of the rarest words that two similar sets share one there. Words counted once are in one line
+   only; they count as positions but are not dealt out.
+4. ``earliest``: vertices that share two neighbouring words of their prefixes are compared with the earliest of them.
+   This settles copies with small changes, in groups of any size, at a comparison or two each.
+5. ``candidates``: what is not settled meets all earlier vertices that share a prefix word. Let i and j be the places
+   of the first word that two similar sets share: the i + j words before it are not shared, so i + j is at most the
+   number of words in which similar sets of these sizes differ, and the smaller place is at most half of that. So only
+   words in the front half of a prefix meet all words of the others. Each difference flips one bit at most of the
+   bitmaps' difference, which sorts out nearly all pairs before anything is written.
+6. ``matching``: Jaccard of the words themselves. One earlier match is enough, so links are never enumerated.
 
 Null and empty texts have no lines. A null doc_id comes after all others. Rows of one doc_id, or without one, that have
 different texts have places of their own. Rows with the same doc_id, or both without one, and the same text can't be
-told apart: they share places and don't remove each other's lines.
+told apart: they share places and don't remove each other's lines. Lines of any length are compared whole. An empty
+table gives an empty table. doc_id must be a whole number or castable to one; other columns pass through whatever their
+names.
 """
 
 from __future__ import annotations
@@ -22,11 +32,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, drop_path, id_key, materialize, text_hash
+from .common import NULL_ID, drop_path, id_key, materialize, text_hash, unused
 
 NUM, DEN = 80, 100
-BUCKETS = 1 << 20
-OTHER_SPACE = r"[\x09-\x0D]"
+#: Counters of words: a power of two near a sixteenth of the words, within these bounds.
+FEWEST, MOST = 1 << 16, 1 << 22
+#: Counters in one row while their table is put together.
+PART = 1 << 12
+#: Neighbouring pairs of a prefix by which a vertex looks for the earliest of its kind.
+PAIRS = 3
+OTHER_SPACE = "\t\x0b\x0c\r"
 
 
 def lowered(text: Column) -> Column:
@@ -39,105 +54,158 @@ def lowered(text: Column) -> Column:
     return F.lower(F.decode(text.cast("binary"), "ISO-8859-1"))
 
 
-def word_set(line: Column) -> Column:
-    """Hashes of a line's distinct words, ascending."""
-    plain = F.when(line.rlike(OTHER_SPACE), F.regexp_replace(line, OTHER_SPACE, " ")).otherwise(line)
-    words = F.array_remove(F.split(lowered(plain), " "), "")
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+def plain(text: Column) -> Column:
+    """Lower-cased, with one kind of white space within lines."""
+    out = lowered(text)
+    for c in OTHER_SPACE:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
+def words_in(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is made once, however often it is used above."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """key, row, line, words of every line that isn't blank."""
-    lines = docs.where(F.col("text").isNotNull()).select(id_key().alias("key"), text_hash().alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    # through explode() the set is made once, however often it is used above
-    return lines.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("key", "row", "line", F.explode(F.array(word_set(F.col("raw")))).alias("words"))
+    """key, row, line, hi, lo of every line that isn't blank."""
+    lines = docs.where(F.col("text").isNotNull()).select(id_key().alias("key"), text_hash().alias("row"), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line", "raw"))
+    return lines.where(F.trim("raw") != "").select("key", "row", "line", F.xxhash64("raw").alias("hi"), F.xxhash64(F.lit(7), F.col("raw")).alias("lo"))
 
 
-def fingerprint(words: Column) -> Column:
-    return F.xxhash64(words, F.size(words))
+def vertices(spark: SparkSession, index: DataFrame) -> DataFrame:
+    """hi, lo, key, row, line and p of each different line at its first place; p grows with the place."""
+    first = index.groupBy("hi", "lo").agg(F.min(F.struct("key", "row", "line")).alias("first")).select("hi", "lo", "first.*")
+    return materialize(spark, first.orderBy("key", "row", "line").withColumn("p", F.monotonically_increasing_id()), "vertices")
 
 
-def bucket(word: Column) -> Column:
-    return F.shiftrightunsigned(word, 20).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def vertex_texts(docs: DataFrame, vertex: DataFrame) -> DataFrame:
+    """p and raw, the line itself, of each vertex."""
+    wanted = vertex.groupBy("key", "row").agg(F.collect_list(F.struct("line", "p")).alias("wanted"))
+    texts = docs.where(F.col("text").isNotNull()).select(id_key().alias("key"), text_hash().alias("row"), "text").dropDuplicates(["key", "row"])
+    both = once(texts.join(wanted, ["key", "row"]).select("wanted", "text"), "lines", F.split(plain(F.col("text")), "\n"))
+    found = F.transform("wanted", lambda x: F.struct(x["p"].alias("p"), F.get("lines", x["line"]).alias("raw")))
+    return both.select(F.explode(found).alias("x")).select("x.p", "x.raw")
 
 
-def rarity(lines: DataFrame) -> bytearray:
-    """A byte for each bucket of words: on a logarithmic scale, how many lines have them; 0 for one at most. BUCKETS counters become one binary."""
-    counts = lines.select(F.explode("words").alias("w")).groupBy(bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
-    every = counts.union(lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int"), F.lit(0).cast("long"))).groupBy("b").agg(F.max("n").alias("n"))
-    level = F.when(F.col("n") > 1, F.least(F.lit(127), F.floor(F.log2("n") * 6).cast("int"))).otherwise(0)
-    joined = lambda key, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value]), "")
-    parts = every.select("b", F.lpad(F.hex(level), 2, "0").alias("x")).groupBy(F.shiftright("b", 10).alias("part")).agg(joined("b", "x").alias("xs"))
-    return bytearray(parts.agg(F.unhex(joined("part", "xs"))).first()[0])
+def counters(words: int) -> int:
+    return min(MOST, max(FEWEST, 1 << (max(1, words) // 16).bit_length()))
 
 
-def prefixes(lines: DataFrame, scale: bytearray, num: int, den: int) -> DataFrame:
-    """word, fp, n, pos, alone: the words of each distinct set's prefix that other lines may have; alone: how many words of the set, the first ones, no other line has.
+def bucket(word: Column, size: int) -> Column:
+    return F.shiftrightunsigned(word, 20).bitwiseAND(F.lit(size - 1)).cast("int")
+
+
+def rarity(texts: DataFrame, size: int) -> DataFrame:
+    """One row, scale: a byte for each of ``size`` counters of words, on a logarithmic scale how often they occur; 0 for once at most."""
+    words = texts.select(F.explode(F.split("raw", " ")).alias("w")).where("w <> ''").select(bucket(F.xxhash64("w"), size).alias("b"), F.lit(1).cast("long").alias("n"))
+    none = texts.sparkSession.range(size).select(F.col("id").cast("int"), F.lit(0).cast("long"))
+    every = words.union(none).groupBy("b").agg(F.sum("n").alias("n"))
+    level = F.when(F.col("n") > 1, F.least(F.lit(127), F.floor(F.log2("n") * 4))).otherwise(0).cast("byte")
+    part = every.select(F.floor(F.col("b") / PART).alias("part"), F.struct("b", level.alias("x")).alias("y")).groupBy("part").agg(F.sort_array(F.collect_list("y"))["x"].alias("xs"))
+    return part.agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "xs")))["xs"]).alias("scale"))
+
+
+def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """p, n, alone, bits, prefix of each vertex; alone: how many words of its prefix, the first ones, no other line has; prefix: the others.
 
     A word stands here as its rarity in the highest byte and its hash below, so that plain numbers sort by rarity.
     """
-    rank = lambda w: F.ascii(F.substring(F.lit(scale), bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
-    by_rarity = F.sort_array(F.transform("words", lambda w: F.shiftleft(rank(w), 56) + F.shiftrightunsigned(w, 8)))
+    rank = lambda h: F.shiftleft(F.get("scale", bucket(h, size)).cast("long"), 56) + F.shiftrightunsigned(h, 8)
+    hashed = once(texts, "hashes", F.transform(words_in(F.col("raw")), lambda w: F.xxhash64(w))).select("p", "hashes")
+    # the optimizer puts the table in place of the column that names it, so no row ever holds it
+    looked_up = hashed.withColumn("scale", scale.select("scale").scalar()).select("p", F.array_distinct(F.transform("hashes", rank)).alias("ranked"))
+    ranked = once(looked_up, "words", F.col("ranked")).select("p", "words")
     n = F.size("words")
-    size = n + F.floor(-n * num / den).cast("int") + 1
-    prefix = lines.where(n * (den - num) >= num).select("fp", n.alias("n"), F.explode(F.array(F.slice(by_rarity, F.lit(1), size))).alias("prefix"))
-    alone = F.size(F.filter("prefix", lambda x: x < (1 << 56)))
-    dealt = prefix.select("fp", "n", alone.alias("alone"), F.posexplode("prefix").alias("pos", "word"))
-    return dealt.where(F.col("word") >= (1 << 56)).select("word", "fp", "n", "pos", "alone").distinct()
+    bits = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    length = n + F.floor(-n * num / den).cast("int") + 1
+    front = once(ranked.select("p", n.alias("n"), bits.alias("bits"), F.slice(F.sort_array("words"), F.lit(1), length).alias("front")), "prefix", F.filter("front", lambda x: x >= (1 << 56)))
+    return front.select("p", "n", (F.size("front") - F.size("prefix")).alias("alone"), "bits", "prefix")
+
+
+def may_match(num: int, den: int) -> Column:
+    """Whether sets of sizes na and nb with bitmaps ba and bb can be similar."""
+    length = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    return length & (F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))
+
+
+def earliest(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """b, a: vertices, and the earliest of those that share two neighbouring words of their prefixes with them."""
+    pair = lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1))
+    keys = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.size("prefix") - 2, F.lit(PAIRS - 1)))), pair)
+    rows = sets.where(F.size("prefix") > 0).select(F.explode(keys).alias("key"), "p", "n", "bits")
+    least = rows.groupBy("key").agg(F.min("p").alias("a"), F.min_by("n", "p").alias("na"), F.min_by("bits", "p").alias("ba"), F.max("p").alias("last")).where("a < last").drop("last")
+    met = rows.select("key", F.col("p").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")).join(least, "key")
+    return met.where((F.col("a") < F.col("b")) & may_match(num, den)).select("b", "a").distinct()
+
+
+def candidates(sets: DataFrame, settled: DataFrame, num: int, den: int) -> DataFrame:
+    """b, a: vertices that aren't settled, and the earlier ones they may match."""
+    known = sets.join(settled.withColumn("known", F.lit(True)), "p", "left").select("p", "n", "alone", "bits", F.col("known").isNotNull().alias("known"), "prefix")
+    rows = known.select("p", "n", "alone", "bits", "known", F.posexplode("prefix").alias("i", "word")).withColumn("i", F.col("i") + F.col("alone"))
+    names = ["p", "n", "i", "bits", "known", "word"]
+    half = rows.where(F.col("i") * (2 * num) <= F.col("n") * (den - num)).select(*names).toDF("pa", "na", "ia", "ba", "ka", "word")
+    whole = rows.select(*names).toDF("pb", "nb", "ib", "bb", "kb", "word")
+    before = (F.col("ia") + F.col("ib")) * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)
+    order = F.when(F.col("pa") < F.col("pb"), ~F.col("kb")).otherwise((F.col("pa") > F.col("pb")) & ~F.col("ka"))
+    return half.join(whole, "word").where(order & before & may_match(num, den)).select(F.greatest("pa", "pb").alias("b"), F.least("pa", "pb").alias("a")).distinct()
+
+
+def matching(spark: SparkSession, texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """p of the vertices b that have a pair whose words are similar."""
+    pairs = materialize(spark, pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct()
+    sets = materialize(spark, texts.join(wanted, "p"), "sets").select("p", F.array_distinct(words_in(F.col("raw"))).alias("w"))
+    both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
+    both = both.select("b", F.size(F.array_intersect("wa", "wb")).alias("o"), (F.size("wa") + F.size("wb")).alias("s"))
+    return materialize(spark, both.where(F.col("o") * den >= (F.col("s") - F.col("o")) * num).select(F.col("b").alias("p")).distinct(), "matched")
 
 
 def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """key, row, line of every line with an earlier match."""
-    lines = materialize(spark, lines_of(docs).select("key", "row", "line", fingerprint(F.col("words")).alias("fp"), "words"), "lines")
-    index = lines.select("key", "row", "line", "fp")
-    words = materialize(spark, prefixes(lines, rarity(lines), num, den), "prefixes")
-    a, b = words.toDF("word", "fa", "na", "pa", "ua"), words.toDF("word", "fb", "nb", "pb", "ub")
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # this word and all after it
-    before = F.least(F.col("pa") - F.col("ua"), F.col("pb") - F.col("ub"))
-    length = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    position = (before + rest) * (num + den) >= num * (F.col("na") + F.col("nb"))
-    met = a.join(b, "word").where((F.col("fa") < F.col("fb")) & length & position).groupBy("fa", "fb", "na", "nb").agg(F.count("*").alias("met"))
-    # of what two sets share, all up to where the first of their prefixes ends has met here; the rest lies after a prefix
-    after = F.greatest(*(-F.floor(-F.col(n) * num / den) - 1 for n in ("na", "nb")))
-    enough = (F.col("met") + after) * (num + den) >= num * (F.col("na") + F.col("nb"))
-    pairs = materialize(spark, met.where(enough).select("fa", "fb"), "pairs")
-    wanted = pairs.select(F.col("fa").alias("fp")).union(pairs.select("fb")).distinct()
-    sets = lines.select("fp", "words").join(wanted, "fp").groupBy("fp").agg(F.first("words").alias("words"))
-    sets = materialize(spark, sets, "sets")
-    both = pairs.join(sets.toDF("fa", "wa"), "fa").join(sets.toDF("fb", "wb"), "fb")
-    both = both.select("fa", "fb", F.size(F.array_intersect("wa", "wb")).alias("o"), (F.size("wa") + F.size("wb")).alias("s"))
-    links = materialize(spark, both.where(F.col("o") * den >= (F.col("s") - F.col("o")) * num).select("fa", "fb"), "links")
-    place = F.struct("key", "row", "line")
-    first = index.groupBy("fp").agg(F.min(place).alias("first"))
-    two_ways = links.union(links.select("fb", "fa")).toDF("fp", "other")
-    linked = two_ways.join(first.toDF("other", "limit"), "other").groupBy("fp").agg(F.min("limit").alias("limit"))
-    limits = first.join(linked, "fp", "left").select("fp", F.least("first", F.coalesce("limit", "first")).alias("limit"))
-    later = materialize(spark, index.join(limits, "fp").where(place > F.col("limit")).select("key", "row", "line").distinct(), "later")
-    for done in (lines, words, pairs, sets, links):
+    index = materialize(spark, lines_of(docs), "index")
+    vertex = vertices(spark, index)
+    texts = materialize(spark, vertex_texts(docs, vertex), "texts")
+    total = texts.agg(F.sum(F.octet_length("raw") - F.octet_length(F.replace("raw", F.lit(" "), F.lit(""))) + 1)).first()[0] or 0
+    size = counters(total)
+    scale = materialize(spark, rarity(texts, size), "scale")
+    sets = materialize(spark, prefixes(texts, scale, size, num, den), "prefixes")
+    settled = matching(spark, texts, earliest(sets, num, den), num, den)
+    matched = settled.union(matching(spark, texts, candidates(sets, settled, num, den), num, den))
+    known = vertex.join(matched.withColumn("hit", F.lit(True)), "p", "left").select("hi", "lo", F.struct("key", "row", "line").alias("first"), F.col("hit").isNotNull().alias("hit"))
+    later = index.join(known, ["hi", "lo"]).where(F.col("hit") | (F.struct("key", "row", "line") > F.col("first")))
+    later = materialize(spark, later.select("key", "row", "line").distinct(), "later")
+    for done in (index, vertex, texts, scale, sets):
         drop_path(spark, done.table_path)
     return later
 
 
-def with_kept(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``docs`` (its columns prefixed as they are) with __gone, the sorted numbers of the lines to remove, or null."""
-    gone = later_lines(spark, docs, num, den).groupBy(F.col("key").alias("__key"), F.col("row").alias("__row")).agg(F.array_sort(F.collect_list("line")).alias("__gone"))
-    return docs.withColumn("__key", id_key()).withColumn("__row", text_hash()).join(gone, ["__key", "__row"], "left").drop("__key", "__row")
+def with_kept(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int = DEN) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, the sorted numbers of the lines to remove, or null; and that column's name."""
+    key, row, gone = unused(docs, "key", "row", "gone")
+    lines = later_lines(spark, docs, num, den).groupBy(F.col("key").alias(key), F.col("row").alias(row)).agg(F.array_sort(F.collect_list("line")).alias(gone))
+    return docs.withColumn(key, id_key()).withColumn(row, text_hash()).join(lines, [key, row], "left").drop(key, row), gone
 
 
-def kept_text() -> Column:
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    return F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+def kept_text(gone: str) -> Column:
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))
+    return F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with the later matches cut out of ``text``; every row stays. A null text stays null."""
-    return with_kept(spark, docs, num, den).withColumn("text", kept_text()).select(*docs.columns)
+    found, gone = with_kept(spark, docs, num, den)
+    return found.withColumn("text", kept_text(gone)).select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_kept(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found, gone = with_kept(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     n = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(1 + F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))))
-    return found.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce(kept_text(), F.lit("")), 256).alias("kept_sha256"))
+    return found.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce(kept_text(gone), F.lit("")), 256).alias("kept_sha256"))
 
 
 def brute_texts(rows: list[tuple[int | None, str | None]], num: int = NUM, den: int = DEN) -> list[tuple]:
