@@ -100,16 +100,20 @@ def bucket(word: Column, size: int) -> Column:
     return F.shiftrightunsigned(word, 20).bitwiseAND(F.lit(size - 1)).cast("int")
 
 
-def rarity(texts: DataFrame, size: int) -> DataFrame:
-    """One row, scale: a byte for each of ``size`` counters of words, on a logarithmic scale how often they occur; 0 for once at most."""
-    words = texts.select(F.explode(F.split("raw", " ")).alias("w")).where("w <> ''").select(bucket(F.xxhash64("w"), size).alias("b"), F.lit(1).cast("long").alias("n"))
-    none = texts.sparkSession.range(size).select(F.col("id").cast("int"), F.lit(0).cast("long"))
-    every = words.union(none).groupBy("b").agg(F.sum("n").alias("n"))
-    level = F.when(F.col("n") > 1, F.least(F.lit(127), F.floor(F.log2("n") * 4))).otherwise(0).cast("byte")
-    part = every.select(F.floor(F.col("b") / PART).alias("part"), F.struct("b", level.alias("x")).alias("y")).groupBy("part").agg(F.sort_array(F.collect_list("y"))["x"].alias("xs"))
+def table(seen: DataFrame, size: int, level: Column) -> DataFrame:
+    """One row, scale: a byte for each of ``size`` counters, ``level`` of n, how many rows of ``seen`` have it as b."""
+    none = seen.sparkSession.range(size).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
+    every = seen.select("b", F.lit(1).cast("long").alias("n")).union(none).groupBy("b").agg(F.sum("n").alias("n"))
+    part = every.select(F.floor(F.col("b") / PART).alias("part"), F.struct("b", level.cast("byte").alias("x")).alias("y")).groupBy("part").agg(F.sort_array(F.collect_list("y"))["x"].alias("xs"))
     return part.agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "xs")))["xs"]).alias("scale"))
 
 
+def rarity(texts: DataFrame, size: int) -> DataFrame:
+    """One row, scale: on a logarithmic scale how often the words of each counter occur; 0 for once at most."""
+    words = texts.select(F.explode(F.split("raw", " ")).alias("w")).where("w <> ''").select(bucket(F.xxhash64("w"), size).alias("b"))
+    return table(words, size, F.when(F.col("n") > 1, F.least(F.lit(127), F.floor(F.log2("n") * 4))).otherwise(0))
+
+
 def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """p, n, alone, bits, prefix of each vertex; alone: how many words of its prefix, the first ones, no other line has; prefix: the others.
 
@@ -127,10 +131,10 @@ def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int)
     return front.select("p", "n", (F.size("front") - F.size("prefix")).alias("alone"), "bits", "prefix")
 
 
-def may_match(num: int, den: int) -> Column:
+def may_match(na: Column, nb: Column, ba: Column, bb: Column, num: int, den: int) -> Column:
     """Whether sets of sizes na and nb with bitmaps ba and bb can be similar."""
-    length = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    return length & (F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))
+    length = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    return length & (F.bit_count(ba.bitwiseXOR(bb)) * (num + den) <= (na + nb) * (den - num))
 
 
 def earliest(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -140,29 +144,41 @@ def earliest(sets: DataFrame, num: int, den: int) -> DataFrame:
     rows = sets.where(F.size("prefix") > 0).select(F.explode(keys).alias("key"), "p", "n", "bits")
     least = rows.groupBy("key").agg(F.min("p").alias("a"), F.min_by("n", "p").alias("na"), F.min_by("bits", "p").alias("ba"), F.max("p").alias("last")).where("a < last").drop("last")
     met = rows.select("key", F.col("p").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")).join(least, "key")
-    return met.where((F.col("a") < F.col("b")) & may_match(num, den)).select("b", "a").distinct()
+    return met.where((F.col("a") < F.col("b")) & may_match(*map(F.col, ("na", "nb", "ba", "bb")), num, den)).select("b", "a").distinct()
 
 
 def candidates(sets: DataFrame, settled: DataFrame, num: int, den: int) -> DataFrame:
     """b, a: vertices that aren't settled, and the earlier ones they may match."""
-    known = sets.join(settled.withColumn("known", F.lit(True)), "p", "left").select("p", "n", "alone", "bits", F.col("known").isNotNull().alias("known"), "prefix")
+    known = sets.join(settled.withColumn("known", F.lit(1)), "p", "left").select("p", "n", "alone", "bits", F.coalesce("known", F.lit(0)).alias("known"), "prefix")
     rows = known.select("p", "n", "alone", "bits", "known", F.posexplode("prefix").alias("i", "word")).withColumn("i", F.col("i") + F.col("alone"))
-    names = ["p", "n", "i", "bits", "known", "word"]
-    half = rows.where(F.col("i") * (2 * num) <= F.col("n") * (den - num)).select(*names).toDF("pa", "na", "ia", "ba", "ka", "word")
-    whole = rows.select(*names).toDF("pb", "nb", "ib", "bb", "kb", "word")
-    before = (F.col("ia") + F.col("ib")) * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)
-    order = F.when(F.col("pa") < F.col("pb"), ~F.col("kb")).otherwise((F.col("pa") > F.col("pb")) & ~F.col("ka"))
-    return half.join(whole, "word").where(order & before & may_match(num, den)).select(F.greatest("pa", "pb").alias("b"), F.least("pa", "pb").alias("a")).distinct()
+    # in one number, to shuffle less: 40 bits of the word's hash, and 2 ** 32 n + 2 i + known
+    packed = rows.select("p", "bits", F.col("word").bitwiseAND(F.lit((1 << 40) - 1)).alias("word"), (F.shiftleft(F.col("n").cast("long"), 32) + 2 * F.col("i") + F.col("known")).alias("x"), "i", "n")
+    half = packed.where(F.col("i") * (2 * num) <= F.col("n") * (den - num))
+    side = lambda df, s: df.select("word", *(F.col(c).alias(c + s) for c in ("p", "bits", "x")))
+    n, i, k = lambda s: F.shiftright("x" + s, 32), lambda s: F.shiftright(F.col("x" + s).bitwiseAND(F.lit((1 << 32) - 1)), 1), lambda s: F.col("x" + s).bitwiseAND(F.lit(1))
+    before = (i("a") + i("b")) * (num + den) <= (n("a") + n("b")) * (den - num)
+    order = F.when(F.col("pa") < F.col("pb"), k("b")).when(F.col("pa") > F.col("pb"), k("a")).otherwise(1) == 0
+    met = side(half, "a").join(side(packed, "b"), "word").where(order & before & may_match(n("a"), n("b"), F.col("bitsa"), F.col("bitsb"), num, den))
+    return met.select(F.greatest("pa", "pb").alias("b"), F.least("pa", "pb").alias("a")).distinct()
 
 
 def matching(spark: SparkSession, texts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """p of the vertices b that have a pair whose words are similar."""
     pairs = materialize(spark, pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct()
-    sets = materialize(spark, texts.join(wanted, "p"), "sets").select("p", F.array_distinct(words_in(F.col("raw"))).alias("w"))
+    # of the texts, only those that a counter of the wanted ones lets through are shuffled
+    size = counters(16 * 16 * pairs.count())
+    at = lambda c: bucket(F.xxhash64(c), size)
+    sieve = materialize(spark, table(wanted.select(at("p").alias("b")), size, F.least("n", F.lit(1))), "sieve")
+    passed = texts.where(F.get(sieve.select("scale").scalar(), at("p")) > 0)
+    fetched = materialize(spark, passed.join(wanted, "p"), "sets")
+    sets = fetched.select("p", F.array_distinct(words_in(F.col("raw"))).alias("w"))
     both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
     both = both.select("b", F.size(F.array_intersect("wa", "wb")).alias("o"), (F.size("wa") + F.size("wb")).alias("s"))
-    return materialize(spark, both.where(F.col("o") * den >= (F.col("s") - F.col("o")) * num).select(F.col("b").alias("p")).distinct(), "matched")
+    found = materialize(spark, both.where(F.col("o") * den >= (F.col("s") - F.col("o")) * num).select(F.col("b").alias("p")).distinct(), "matched")
+    for done in (pairs, sieve, fetched):
+        drop_path(spark, done.table_path)
+    return found
 
 
 def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -170,8 +186,7 @@ def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int =
     index = materialize(spark, lines_of(docs), "index")
     vertex = vertices(spark, index)
     texts = materialize(spark, vertex_texts(docs, vertex), "texts")
-    total = texts.agg(F.sum(F.octet_length("raw") - F.octet_length(F.replace("raw", F.lit(" "), F.lit(""))) + 1)).first()[0] or 0
-    size = counters(total)
+    size = counters((texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // 8)
     scale = materialize(spark, rarity(texts, size), "scale")
     sets = materialize(spark, prefixes(texts, scale, size, num, den), "prefixes")
     settled = matching(spark, texts, earliest(sets, num, den), num, den)
