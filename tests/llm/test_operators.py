@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import common, decontam, html_extract, line_dedup, media, ngram_join, quality, sp_encode, substring_dedup, token_output, warc
 
@@ -81,8 +82,6 @@ def test_keep_one_judges_each_row(spark):
 
 def test_substring_dedup(spark):
     rows = corpus()
-    from pyspark.sql import functions as F
-
     for size in (1 << 20, 50):  # one group, and many groups of long prefixes
         out = substring_dedup.with_repeats(spark, frame(spark, rows), group_size=size).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
         same(out.collect(), substring_dedup.brute_force(rows))
@@ -91,8 +90,6 @@ def test_substring_dedup(spark):
 
 def test_line_dedup(spark):
     rows = corpus()
-    from pyspark.sql import functions as F
-
     out = line_dedup.remove_lines(spark, frame(spark, rows))
     assert out.columns == ["doc_id", "text", "key", "n"] and out.count() == len(rows)
     same(out.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).collect(), [(i, h) for i, _, _, h in line_dedup.brute_force(rows)])
@@ -114,8 +111,6 @@ def test_line_dedup_tells_rows_apart(spark):
 
 def test_rarity_is_made_without_pandas(spark, monkeypatch):
     from pyspark.sql import DataFrame
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("gathered by the driver"))
     texts = spark.createDataFrame([("once twice  often",), ("twice",)] + [("often often",)] * 500, "raw string")
     size = line_dedup.FEWEST
@@ -193,8 +188,8 @@ def test_pipeline_like_brute_force(spark):
     spark.createDataFrame([(i, int(i < 400), 0) for i in range(301, 440) if i < 340 or i >= 400], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{at}/benchmark.parquet")
     docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
-    scored = quality.score(docs, quality.fit(docs, labels)).collect()
-    want = [(r.doc_id, r.text) for r in scored if r["__score"] >= quality.THRESHOLD]
+    scored, name = quality.score(docs, quality.fit(docs, labels))
+    want = [(r.doc_id, r.text) for r in scored.collect() if r[name] >= quality.THRESHOLD]
     assert {(i, t) for i, t in rows if 300 <= (i or 0) < 340 and "$" not in t} <= set(want) and not {t for _, t in want if t and "$$$" in t}
     cut = [(i, None if t is None else "\n".join(k)) for (i, t), (_, k) in zip(want, line_dedup.brute_texts(want), strict=True)]
     steps = [want, cut, kept_rows(cut), brute_benchmark(kept_rows(cut), items)]
@@ -332,15 +327,15 @@ def test_quality(spark):
     rows = [(i, words(50)) for i in range(150)] + [(i, words(50).replace(" ", "$$$ ")) for i in range(150, 300)] + [(300, None), (301, ""), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(300)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
-    scored = quality.score(docs, quality.fit(docs, labels))
+    scored, name = quality.score(docs.withColumns({"__score": F.lit(5), "__Words": F.lit(6)}), quality.fit(docs, labels))
+    assert name == "__score_" and scored.select("__score", "__Words").distinct().collect() == [(5, 6)]
+    scored = scored.drop("__score", "__Words").withColumnRenamed(name, "__score")
     assert scored.where("(__score >= 0.3) <> (doc_id < 150)").where("doc_id < 300").count() == 0
     assert scored.where("__score is null or __score < 0 or __score > 1").count() == 0
-    assert quality.score(docs, quality.fit(docs, labels.limit(0))).count() == len(rows)
+    assert quality.score(docs, quality.fit(docs, labels.limit(0)))[0].count() == len(rows)
 
 
 def test_lowered_tells_all_characters_apart(spark):
-    from pyspark.sql import functions as F
-
     chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x11000), *range(0x1F000, 0x20000)]]
     pairs = [a + b for a in "aÃãあ" for b in "zÉéあ\U0001F600"]
     rows = spark.createDataFrame([(t,) for t in [*chars, *pairs]], "t string").select("t", line_dedup.lowered(F.col("t")).alias("l"))

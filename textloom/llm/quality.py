@@ -7,7 +7,9 @@ column, so scoring is a projection without Python.
 
 Only rows with crc32(doc_id as text) mod 5 other than 0 are learnt from. Labels, lang, source and doc_id are no inputs
 of a score. Null texts count as empty; labels that are null or neither 0 nor 1 are ignored; without labels of both kinds
-the score is the share of label 1, or 0.5.
+the score is the share of label 1, or 0.5. Rows that repeat an id are scored by their own texts, and count each time in
+the sample; long texts are read whole; ties of the sample's order have equal ids, so equal columns. An empty table gives
+an empty table. Columns of ``docs`` pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Labelled rows that the fit uses at most.
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -133,34 +137,36 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
     learn = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    learn = learn.select("doc_id", F.col("quality").cast("double").alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    learn = learn.select("doc_id", F.col("quality").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     stats = statistics()
-    rows = docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id").select("__y", *(c.alias(k) for k, c in stats.items())).toPandas()
-    y = rows["__y"].to_numpy(np.float64)
+    rows = docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id").select("y", *(c.alias(k) for k, c in stats.items())).toPandas()
+    y = rows["y"].to_numpy(np.float64)
     if len(y) == 0 or y.min() == y.max():
         share = y.mean() if len(y) else 0.5
         return Rules(float(np.log((share + 1e-3) / (1 - share + 1e-3))), [])
     order = np.lexsort([rows[c].to_numpy() for c in rows.columns])
-    x, y = rows.drop(columns="__y").to_numpy(np.float64)[order], y[order]
+    x, y = rows.drop(columns="y").to_numpy(np.float64)[order], y[order]
     paths = tree_paths(x, y)
     bias, weights = lasso_logistic(_matrix(x, paths), y, PENALTY)
     return Rules(bias, [(float(w), p) for w, p in zip(weights, paths, strict=True) if abs(w) > 1e-6])
 
 
-def score(docs: DataFrame, rules: Rules) -> DataFrame:
-    """``docs`` with __score. The statistics are computed once and hidden."""
+def score(docs: DataFrame, rules: Rules) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, the score, and its name. The statistics are computed once and hidden."""
     stats = statistics()
-    with_stats = docs.withColumns({f"__{k}": c for k, c in stats.items()})
-    return with_stats.withColumn("__score", rules.column([F.col(f"__{k}") for k in stats])).drop(*(f"__{k}" for k in stats))
+    name, *names = unused(docs, "score", *stats)
+    with_stats = docs.withColumns(dict(zip(names, stats.values(), strict=True)))
+    return with_stats.withColumn(name, rules.column([F.col(n) for n in names])).drop(*names), name
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scored = score(docs.select("doc_id", "text"), fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    scored, name = score(docs.select("doc_id", "text"), fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), F.col(name).alias("score"), (F.col(name) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects."""
-    return score(docs, fit(docs, labels)).where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    scored, name = score(docs, fit(docs, labels))
+    return scored.where(F.col(name) >= THRESHOLD).select(*docs.columns)

@@ -31,7 +31,8 @@ from .common import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 1_000_000
+#: Chunks that a worker remembers, and bytes of text that it takes at once.
+CACHE, BATCH = 400_000, 3 << 19
 #: Chunks longer than this are merged one by one with a heap.
 LONG = 200
 
@@ -133,8 +134,11 @@ def lattice(text: np.ndarray, m: Model) -> np.ndarray:
     sa = suffix_array(text, m.longest)
     lo, hi = piece_ranges(text, sa, m)
     n = hi - lo
-    at = sa[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    key = at * (m.longest + 1) + np.repeat(m.length, n)
+    small = np.int32 if (len(text) + 1) * (m.longest + 1) < 1 << 31 else np.int64
+    key = sa.astype(small)[np.repeat((lo - (np.cumsum(n) - n)).astype(small), n) + np.arange(n.sum(), dtype=small)]
+    del sa
+    key *= small(m.longest + 1)
+    key += np.repeat(m.length.astype(small), n)
     by = np.argsort(key)  # edges by position
     out = np.full((len(text) + 1) * (m.longest + 1), -1, np.int32)
     out[key[by]] = np.repeat(m.normal, n)[by]
@@ -286,7 +290,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        for b in T.slices(batches, max_bytes=2 << 20):
+        for b in T.slices(batches, max_bytes=BATCH):
             ids, limits = enc.encode(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(ids, pa.int32())), pa.array(enc.decode(ids, limits), pa.string())], names=["doc_id", "ids", "decoded"])
 
