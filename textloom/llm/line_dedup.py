@@ -8,7 +8,7 @@ Plan
 1. ``lines_of``: each line's place and 128-bit hash, 40 bytes a line. Equal lines become one vertex, its first place;
    later copies are removed without any join of words. Vertices are numbered in the order of their places.
 2. ``rarity``: words are counted in hashed counters, a table of bounded size that tasks get as one array of bytes.
-3. ``prefixes``: a vertex's words in order, rarest first. Kept are its size, a 64-bit parity bitmap of its words, and
+3. ``prefixes``: a vertex's words in order, rarest first. Kept are its size, a bitmap of parities of its words, and
    the prefix: so many of the rarest words that two similar sets share one there. Words counted once are in one line
    only; they count as positions but are not dealt out.
 4. ``earliest``: vertices that share two neighbouring words of their prefixes are compared with the earliest of them.
@@ -41,6 +41,8 @@ FEWEST, MOST = 1 << 16, 1 << 22
 PART = 1 << 12
 #: Neighbouring pairs of a prefix by which a vertex looks for the earliest of its kind.
 PAIRS = 3
+#: Sets with more words than this have a bitmap of 128 bits, the others one of 64.
+LARGE = 64
 OTHER_SPACE = "\t\x0b\x0c\r"
 
 
@@ -115,7 +117,7 @@ def rarity(texts: DataFrame, size: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """p, n, alone, bits, prefix of each vertex; alone: how many words of its prefix, the first ones, no other line has; prefix: the others.
+    """p, n, alone, bits, odd, prefix of each vertex; bits, odd: its bitmap; alone: how many words of its prefix, the first ones, no other line has; prefix: the others.
 
     A word stands here as its rarity in the highest byte and its hash below, so that plain numbers sort by rarity.
     """
@@ -125,40 +127,50 @@ def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int)
     looked_up = hashed.withColumn("scale", scale.select("scale").scalar()).select("p", F.array_distinct(F.transform("hashes", rank)).alias("ranked"))
     ranked = once(looked_up, "words", F.col("ranked")).select("p", "words")
     n = F.size("words")
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    flip = lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
+    none = F.lit(0).cast("long")
+    bits = F.aggregate("words", none, flip)
+    odd = F.when(n > LARGE, F.aggregate(F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) > 0), none, flip)).otherwise(none)
     length = n + F.floor(-n * num / den).cast("int") + 1
-    front = once(ranked.select("p", n.alias("n"), bits.alias("bits"), F.slice(F.sort_array("words"), F.lit(1), length).alias("front")), "prefix", F.filter("front", lambda x: x >= (1 << 56)))
-    return front.select("p", "n", (F.size("front") - F.size("prefix")).alias("alone"), "bits", "prefix")
+    front = once(ranked.select("p", n.alias("n"), bits.alias("bits"), odd.alias("odd"), F.slice(F.sort_array("words"), F.lit(1), length).alias("front")), "prefix", F.filter("front", lambda x: x >= (1 << 56)))
+    return front.select("p", "n", (F.size("front") - F.size("prefix")).alias("alone"), "bits", "odd", "prefix")
 
 
-def may_match(na: Column, nb: Column, ba: Column, bb: Column, num: int, den: int) -> Column:
-    """Whether sets of sizes na and nb with bitmaps ba and bb can be similar."""
+def may_match(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column], num: int, den: int) -> Column:
+    """Whether sets of such sizes (n, bits, odd) can be similar.
+
+    bits has the parities of all words by 6 bits of their hashes. odd, of large sets, has those of the words whose next
+    bit is set; with bits it makes twice as many parities.
+    """
+    (na, ba, oa), (nb, bb, ob) = a, b
     length = F.least(na, nb) * den >= F.greatest(na, nb) * num
-    return length & (F.bit_count(ba.bitwiseXOR(bb)) * (num + den) <= (na + nb) * (den - num))
+    bits, odd = ba.bitwiseXOR(bb), oa.bitwiseXOR(ob)
+    apart = F.when((na > LARGE) & (nb > LARGE), F.bit_count(odd) + F.bit_count(bits.bitwiseXOR(odd))).otherwise(F.bit_count(bits))
+    return length & (apart * (num + den) <= (na + nb) * (den - num))
 
 
 def earliest(sets: DataFrame, num: int, den: int) -> DataFrame:
     """b, a: vertices, and the earliest of those that share two neighbouring words of their prefixes with them."""
     pair = lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1))
     keys = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.size("prefix") - 2, F.lit(PAIRS - 1)))), pair)
-    rows = sets.where(F.size("prefix") > 0).select(F.explode(keys).alias("key"), "p", "n", "bits")
-    least = rows.groupBy("key").agg(F.min("p").alias("a"), F.min_by("n", "p").alias("na"), F.min_by("bits", "p").alias("ba"), F.max("p").alias("last")).where("a < last").drop("last")
-    met = rows.select("key", F.col("p").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")).join(least, "key")
-    return met.where((F.col("a") < F.col("b")) & may_match(*map(F.col, ("na", "nb", "ba", "bb")), num, den)).select("b", "a").distinct()
+    rows = sets.where(F.size("prefix") > 0).select(F.explode(keys).alias("key"), "p", "n", "bits", "odd")
+    least = rows.groupBy("key").agg(F.min("p").alias("a"), F.min_by("n", "p").alias("na"), F.min_by("bits", "p").alias("ba"), F.min_by("odd", "p").alias("oa"), F.max("p").alias("last")).where("a < last").drop("last")
+    met = rows.select("key", F.col("p").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("odd").alias("ob")).join(least, "key")
+    return met.where((F.col("a") < F.col("b")) & may_match(tuple(map(F.col, ("na", "ba", "oa"))), tuple(map(F.col, ("nb", "bb", "ob"))), num, den)).select("b", "a").distinct()
 
 
 def candidates(sets: DataFrame, settled: DataFrame, num: int, den: int) -> DataFrame:
     """b, a: vertices that aren't settled, and the earlier ones they may match."""
-    known = sets.join(settled.withColumn("known", F.lit(1)), "p", "left").select("p", "n", "alone", "bits", F.coalesce("known", F.lit(0)).alias("known"), "prefix")
-    rows = known.select("p", "n", "alone", "bits", "known", F.posexplode("prefix").alias("i", "word")).withColumn("i", F.col("i") + F.col("alone"))
+    known = sets.join(settled.withColumn("known", F.lit(1)), "p", "left").select("p", "n", "alone", "bits", "odd", F.coalesce("known", F.lit(0)).alias("known"), "prefix")
+    rows = known.select("p", "n", "alone", "bits", "odd", "known", F.posexplode("prefix").alias("i", "word")).withColumn("i", F.col("i") + F.col("alone"))
     # in one number, to shuffle less: 40 bits of the word's hash, and 2 ** 32 n + 2 i + known
-    packed = rows.select("p", "bits", F.col("word").bitwiseAND(F.lit((1 << 40) - 1)).alias("word"), (F.shiftleft(F.col("n").cast("long"), 32) + 2 * F.col("i") + F.col("known")).alias("x"), "i", "n")
+    packed = rows.select("p", "bits", "odd", F.col("word").bitwiseAND(F.lit((1 << 40) - 1)).alias("word"), (F.shiftleft(F.col("n").cast("long"), 32) + 2 * F.col("i") + F.col("known")).alias("x"), "i", "n")
     half = packed.where(F.col("i") * (2 * num) <= F.col("n") * (den - num))
-    side = lambda df, s: df.select("word", *(F.col(c).alias(c + s) for c in ("p", "bits", "x")))
+    side = lambda df, s: df.select("word", *(F.col(c).alias(c + s) for c in ("p", "bits", "odd", "x")))
     n, i, k = lambda s: F.shiftright("x" + s, 32), lambda s: F.shiftright(F.col("x" + s).bitwiseAND(F.lit((1 << 32) - 1)), 1), lambda s: F.col("x" + s).bitwiseAND(F.lit(1))
     before = (i("a") + i("b")) * (num + den) <= (n("a") + n("b")) * (den - num)
     order = F.when(F.col("pa") < F.col("pb"), k("b")).when(F.col("pa") > F.col("pb"), k("a")).otherwise(1) == 0
-    met = side(half, "a").join(side(packed, "b"), "word").where(order & before & may_match(n("a"), n("b"), F.col("bitsa"), F.col("bitsb"), num, den))
+    met = side(half, "a").join(side(packed, "b"), "word").where(order & before & may_match((n("a"), F.col("bitsa"), F.col("odda")), (n("b"), F.col("bitsb"), F.col("oddb")), num, den))
     return met.select(F.greatest("pa", "pb").alias("b"), F.least("pa", "pb").alias("a")).distinct()
 
 
