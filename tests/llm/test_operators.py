@@ -130,7 +130,7 @@ def test_line_dedup_of_templates_writes_few_pairs(spark):
     texts = common.materialize(spark, line_dedup.vertex_texts(docs, vertex), "texts")
     sets = common.materialize(spark, line_dedup.prefixes(texts, line_dedup.rarity(texts, 1 << 16), 1 << 16, 80, 100), "sets")
     star = line_dedup.earliest(sets, 80, 100)
-    assert 390 < star.count() < line_dedup.PAIRS * len(rows)
+    assert 390 < star.count() < line_dedup.SLOTS * len(rows)
     settled = line_dedup.matching(spark, texts, star, 80, 100)
     assert settled.count() >= 395
     assert line_dedup.candidates(sets, settled, 80, 100).count() < 800

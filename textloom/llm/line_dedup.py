@@ -12,12 +12,13 @@ Plan
    the prefix: so many of the rarest words that two similar sets share one there. Words counted once are in one line
    only; they count as positions but are not dealt out.
 4. ``earliest``: vertices that share two neighbouring words of their prefixes are compared with the earliest of them.
-   This settles copies with small changes, in groups of any size, at a comparison or two each.
+   This settles copies with small changes, in groups of any size, at a few comparisons each.
 5. ``candidates``: what is not settled meets all earlier vertices that share a prefix word. Let i and j be the places
    of the first word that two similar sets share: the i + j words before it are not shared, so i + j is at most the
    number of words in which similar sets of these sizes differ, and the smaller place is at most half of that. So only
-   words in the front half of a prefix meet all words of the others. Each difference flips one bit at most of the
-   bitmaps' difference, which sorts out nearly all pairs before anything is written.
+   words in the front half of a prefix meet all words of the others. Each row carries the bitmap of the words from
+   there on. A difference flips one bit of it at most, so i + j and the bits in which two bitmaps differ are together a
+   lower bound of the differences. It sorts out nearly all pairs before anything is written.
 6. ``matching``: Jaccard of the words themselves. One earlier match is enough, so links are never enumerated.
 
 Null and empty texts have no lines. A null doc_id comes after all others. Rows of one doc_id, or without one, that have
@@ -39,10 +40,12 @@ NUM, DEN = 80, 100
 FEWEST, MOST = 1 << 16, 1 << 22
 #: Counters in one row while their table is put together.
 PART = 1 << 12
-#: Neighbouring pairs of a prefix by which a vertex looks for the earliest of its kind.
-PAIRS = 3
 #: Sets with more words than this have a bitmap of 128 bits, the others one of 64.
 LARGE = 64
+#: So many words before a word of a prefix are taken out of its bitmap and counted.
+COUNTED = 8
+#: So many of the vertices with a common pair are compared with all others of them.
+SLOTS = 8
 OTHER_SPACE = "\t\x0b\x0c\r"
 
 
@@ -116,8 +119,18 @@ def rarity(texts: DataFrame, size: int) -> DataFrame:
     return table(words, size, F.when(F.col("n") > 1, F.least(F.lit(127), F.floor(F.log2("n") * 4))).otherwise(0))
 
 
+def parities(words: Column) -> Column:
+    """Bit k: whether an odd number of the words have hashes that end in k."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def odd_half(word: Column) -> Column:
+    return word.bitwiseAND(F.lit(64)) > 0
+
+
 def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """p, n, alone, bits, odd, prefix of each vertex; bits, odd: its bitmap; alone: how many words of its prefix, the first ones, no other line has; prefix: the others.
+    """p, n, alone, bits, odd, prefix of each vertex; bits, odd: the bitmap of its words but for those counted once; alone: how many words of its prefix, the first ones, no other line has; prefix: the others.
 
     A word stands here as its rarity in the highest byte and its hash below, so that plain numbers sort by rarity.
     """
@@ -127,50 +140,68 @@ def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int)
     looked_up = hashed.withColumn("scale", scale.select("scale").scalar()).select("p", F.array_distinct(F.transform("hashes", rank)).alias("ranked"))
     ranked = once(looked_up, "words", F.col("ranked")).select("p", "words")
     n = F.size("words")
-    flip = lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
-    none = F.lit(0).cast("long")
-    bits = F.aggregate("words", none, flip)
-    odd = F.when(n > LARGE, F.aggregate(F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) > 0), none, flip)).otherwise(none)
+    known = F.filter("words", lambda w: w >= 1 << 56)
+    large = F.when(n > LARGE, parities(F.filter(known, odd_half))).otherwise(F.lit(0).cast("long"))
     length = n + F.floor(-n * num / den).cast("int") + 1
-    front = once(ranked.select("p", n.alias("n"), bits.alias("bits"), odd.alias("odd"), F.slice(F.sort_array("words"), F.lit(1), length).alias("front")), "prefix", F.filter("front", lambda x: x >= (1 << 56)))
+    front = once(ranked.select("p", n.alias("n"), parities(known).alias("bits"), large.alias("odd"), F.slice(F.sort_array("words"), F.lit(1), length).alias("front")), "prefix", F.filter("front", lambda x: x >= (1 << 56)))
     return front.select("p", "n", (F.size("front") - F.size("prefix")).alias("alone"), "bits", "odd", "prefix")
 
 
-def may_match(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column], num: int, den: int) -> Column:
-    """Whether sets of such sizes (n, bits, odd) can be similar.
+def apart(na: Column, nb: Column, bits: Column, odd: Column) -> Column:
+    """In how many words sets of such sizes differ at least, by the differences of their bitmaps.
 
-    bits has the parities of all words by 6 bits of their hashes. odd, of large sets, has those of the words whose next
-    bit is set; with bits it makes twice as many parities.
+    bits has the parities of words by 6 bits of their hashes. odd, of large sets, has those of the words whose next bit
+    is set; with bits it makes twice as many parities.
     """
-    (na, ba, oa), (nb, bb, ob) = a, b
-    length = F.least(na, nb) * den >= F.greatest(na, nb) * num
-    bits, odd = ba.bitwiseXOR(bb), oa.bitwiseXOR(ob)
-    apart = F.when((na > LARGE) & (nb > LARGE), F.bit_count(odd) + F.bit_count(bits.bitwiseXOR(odd))).otherwise(F.bit_count(bits))
-    return length & (apart * (num + den) <= (na + nb) * (den - num))
+    return F.when((na > LARGE) & (nb > LARGE), F.bit_count(odd) + F.bit_count(bits.bitwiseXOR(odd))).otherwise(F.bit_count(bits))
+
+
+def may_match(na: Column, nb: Column, different: Column, num: int, den: int) -> Column:
+    """Whether sets of such sizes that differ in so many words can be similar."""
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (different * (num + den) <= (na + nb) * (den - num))
 
 
 def earliest(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """b, a: vertices, and the earliest of those that share two neighbouring words of their prefixes with them."""
-    pair = lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1))
-    keys = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.size("prefix") - 2, F.lit(PAIRS - 1)))), pair)
-    rows = sets.where(F.size("prefix") > 0).select(F.explode(keys).alias("key"), "p", "n", "bits", "odd")
-    least = rows.groupBy("key").agg(F.min("p").alias("a"), F.min_by("n", "p").alias("na"), F.min_by("bits", "p").alias("ba"), F.min_by("odd", "p").alias("oa"), F.max("p").alias("last")).where("a < last").drop("last")
-    met = rows.select("key", F.col("p").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("odd").alias("ob")).join(least, "key")
-    return met.where((F.col("a") < F.col("b")) & may_match(tuple(map(F.col, ("na", "ba", "oa"))), tuple(map(F.col, ("nb", "bb", "ob"))), num, den)).select("b", "a").distinct()
+    """b, a: vertices, and the earliest, of each of SLOTS, of those that share two neighbouring words of their prefixes with them.
+
+    The words that set one copy apart from others are mostly rarer than those that all of a group have. So a pair is
+    the first word of its level of rarity in the prefix, levels being a factor of two apart, and the word after it.
+    """
+    level = lambda w: F.shiftright(w, 58)
+    pair = lambda w, i: F.when((i == 0) | (level(w) != level(F.get("prefix", i - 1))), F.xxhash64(w, F.get("prefix", i + 1)))
+    carried = ["p", "n", "alone", "bits", "odd"]
+    rows = sets.where(F.size("prefix") > 0).select(*carried, F.explode(F.transform("prefix", pair)).alias("key")).where("key is not null")
+    first = [F.min_by(c, "p").alias(c + "a") for c in carried]
+    least = rows.groupBy("key", F.pmod(F.xxhash64("p"), F.lit(SLOTS)).alias("slot")).agg(*first).drop("slot")
+    met = rows.select("key", *(F.col(c).alias(c + "b") for c in carried)).join(least, "key").where("pa < pb")
+    a, b = ({c: F.col(c + side) for c in carried} for side in "ab")
+    different = a["alone"] + b["alone"] + apart(a["n"], b["n"], a["bits"].bitwiseXOR(b["bits"]), a["odd"].bitwiseXOR(b["odd"]))
+    return met.where(may_match(a["n"], b["n"], different, num, den)).select(b["p"].alias("b"), a["p"].alias("a")).distinct()
 
 
 def candidates(sets: DataFrame, settled: DataFrame, num: int, den: int) -> DataFrame:
     """b, a: vertices that aren't settled, and the earlier ones they may match."""
     known = sets.join(settled.withColumn("known", F.lit(1)), "p", "left").select("p", "n", "alone", "bits", "odd", F.coalesce("known", F.lit(0)).alias("known"), "prefix")
-    rows = known.select("p", "n", "alone", "bits", "odd", "known", F.posexplode("prefix").alias("i", "word")).withColumn("i", F.col("i") + F.col("alone"))
-    # in one number, to shuffle less: 40 bits of the word's hash, and 2 ** 32 n + 2 i + known
-    packed = rows.select("p", "bits", "odd", F.col("word").bitwiseAND(F.lit((1 << 40) - 1)).alias("word"), (F.shiftleft(F.col("n").cast("long"), 32) + 2 * F.col("i") + F.col("known")).alias("x"), "i", "n")
-    half = packed.where(F.col("i") * (2 * num) <= F.col("n") * (den - num))
+    rows = known.select("p", "n", "alone", "bits", "odd", "known", "prefix", F.posexplode("prefix").alias("i", "word"))
+    bits, odd, zero = F.col("bits"), F.col("odd"), F.lit(0).cast("long")
+    for k in range(COUNTED):
+        w = F.get("prefix", F.lit(k))
+        bit = F.when(F.col("i") > k, F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))).otherwise(zero)
+        bits = bits.bitwiseXOR(bit)
+        odd = odd.bitwiseXOR(F.when((F.col("n") > LARGE) & odd_half(w), bit).otherwise(zero))
+    place = F.col("alone") + F.col("i")
+    front = place * (2 * num) <= F.col("n") * (den - num)
+    # in one number, to shuffle less: 40 bits of the word's hash, and size, words counted, front and known
+    x = F.shiftleft(F.col("n").cast("long"), 32) + 4 * (F.col("alone") + F.least("i", F.lit(COUNTED))) + 2 * front.cast("int") + F.col("known")
+    packed = rows.select("p", bits.alias("bits"), odd.alias("odd"), F.col("word").bitwiseAND(F.lit((1 << 40) - 1)).alias("word"), x.alias("x"), front.alias("front"))
+    half = packed.where("front")
     side = lambda df, s: df.select("word", *(F.col(c).alias(c + s) for c in ("p", "bits", "odd", "x")))
-    n, i, k = lambda s: F.shiftright("x" + s, 32), lambda s: F.shiftright(F.col("x" + s).bitwiseAND(F.lit((1 << 32) - 1)), 1), lambda s: F.col("x" + s).bitwiseAND(F.lit(1))
-    before = (i("a") + i("b")) * (num + den) <= (n("a") + n("b")) * (den - num)
-    order = F.when(F.col("pa") < F.col("pb"), k("b")).when(F.col("pa") > F.col("pb"), k("a")).otherwise(1) == 0
-    met = side(half, "a").join(side(packed, "b"), "word").where(order & before & may_match((n("a"), F.col("bitsa"), F.col("odda")), (n("b"), F.col("bitsb"), F.col("oddb")), num, den))
+    n, i = lambda s: F.shiftright("x" + s, 32), lambda s: F.shiftright(F.col("x" + s).bitwiseAND(F.lit((1 << 32) - 1)), 2)
+    k, f = lambda s: F.col("x" + s).bitwiseAND(F.lit(1)), lambda s: F.col("x" + s).bitwiseAND(F.lit(2)) > 0
+    # two front words meet twice, once from either side
+    order = F.when(F.col("pa") < F.col("pb"), k("b")).when((F.col("pa") > F.col("pb")) & ~f("b"), k("a")).otherwise(1) == 0
+    different = i("a") + i("b") + apart(n("a"), n("b"), F.col("bitsa").bitwiseXOR(F.col("bitsb")), F.col("odda").bitwiseXOR(F.col("oddb")))
+    met = side(half, "a").join(side(packed, "b"), "word").where(order & may_match(n("a"), n("b"), different, num, den))
     return met.select(F.greatest("pa", "pb").alias("b"), F.least("pa", "pb").alias("a")).distinct()
 
 
