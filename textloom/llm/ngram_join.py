@@ -9,12 +9,16 @@ of one set alone can't be shared, so only sets with nearly all n-grams repeated
 n-grams of their prefix. N-grams that many documents of a block hold (hot passages) are put last in the order without
 a count and don't pass through a fragment; any order that is the same for all sets gives the same links.
 
+Each set also has a bitmap of parities. It bounds from below in how many n-grams two sets differ, and so sorts out pairs
+that share a passage, or lie just below the threshold, before they are written.
+
 Verification: the sets of candidates are cut into FRAGMENTS parts of the order; for each pair the overlap is counted
 separately in each part, and the parts are summed per pair.
 
-No group is expanded into all its pairs. Sets that share a prefix n-gram are first paired with one centre; verified links are
-contracted to components; then only pairs with a shared prefix n-gram whose members lie in different components remain, which are
-all tested. So a group of n copies costs n tests, and no link between components is lost.
+No group is expanded into all its pairs. Sets that share a prefix n-gram are first paired with one centre of their
+group, and verified links are contracted to components; this is done ROUNDS times at most, with other centres. Then only
+pairs with a shared prefix n-gram whose members lie in different components remain, which are all tested. So a group of
+n copies costs a few n tests, and no link between components is lost.
 
 Null and empty texts have an empty set and link with nothing. Texts of fewer than n words have one n-gram, the whole
 sequence. Copies with equal sets are one vertex (64-bit fingerprint of the set), so repeated rows and null ids need no
@@ -24,10 +28,11 @@ care: a row with a null doc_id takes part, and its component is the smallest id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -39,6 +44,13 @@ BLOCK = 3 << 19
 GROUP = 1 << 20
 #: An n-gram is hot if so many documents of a block hold it, and so large a part of them.
 HOT_DOCS, HOT_PART, MAX_HOT = 32, 0.01, 1_000_000
+#: Turns of comparing members with the centres of their groups, before all that is left is compared; the centres of a
+#: group in a turn; those of them that a member is compared with.
+ROUNDS, SLOTS, PICKS = 4, 8, 4
+#: A set's bitmap has so many times 64 bits.
+BITMAPS = 4
+U1 = T.U(1)
+MAPS = [f"m{c}" for c in range(BITMAPS)]
 
 
 def ngram_sets(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,24 +77,46 @@ def fingerprints(grams: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.where(np.diff(off) > 0, np.where(fp == 0, T.U(1), fp), T.U(0))
 
 
+def bitmaps(grams: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """BITMAPS 64-bit numbers of each set: of each low part of the hashes, whether an odd number of n-grams has it."""
+    bit, part = U1 << (grams & T.U(63)), (grams >> T.U(6)) & T.U(BITMAPS - 1)
+    some = np.flatnonzero(np.diff(off))
+    out = []
+    for c in range(BITMAPS):
+        x = np.zeros(len(off) - 1, T.U)
+        if len(some):
+            x[some] = np.bitwise_xor.reduceat(np.where(part == T.U(c), bit, T.U(0)), off[some])
+        out.append(x.view(np.int64))
+    return out
+
+
+def near(a: str, b: str, na: Column, nb: Column, num: int, den: int) -> Column:
+    """Whether the bitmaps, columns of these names with 0, 1 ... after them, let sets of such sizes be similar.
+
+    Every n-gram that only one of the sets has changes one bit at most, so they differ in as many n-grams as bits at least.
+    """
+    bits: Column = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in range(BITMAPS)), F.lit(0))
+    return bits * (num + den) <= (na + nb) * (den - num)
+
+
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """Per document doc_id, n, fp, row (hash of its text); and hot n-grams of blocks (hot true): fp the n-gram, n the block's documents with it."""
+    """Per document doc_id, n, fp, row (hash of its text), m0, m1 ... (its bitmap); and hot n-grams of blocks (hot true): fp the n-gram, n the block's documents with it."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, seen, names, idtype = [], 0, set(), ["doc_id", "n", "fp", "hot", "row"], None
+        held, n, seen, names, idtype = [], 0, set(), ["doc_id", "n", "fp", "hot", "row", *MAPS], None
 
         def hot() -> Iterator[pa.RecordBatch]:
             grams = np.sort(np.concatenate(held))
             at, many = T.runs(grams)
             some = many >= max(HOT_DOCS, HOT_PART * len(seen))
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(some.sum()), idtype), pa.array(many[some], pa.int64()), pa.array(grams[at[some]].view(np.int64)), pa.array(np.ones(some.sum(), bool)), pa.nulls(int(some.sum()), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(some.sum()), idtype), pa.array(many[some], pa.int64()), pa.array(grams[at[some]].view(np.int64)), pa.array(np.ones(some.sum(), bool)), *(pa.nulls(int(some.sum()), pa.int64()) for _ in ("row", *MAPS))], names=names)
 
         for b in T.slices(batches):
             idtype = b.column("doc_id").type
             grams, off = ngram_sets(b, k)
             fp = fingerprints(grams, off)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(fp.view(np.int64)), pa.array(np.zeros(b.num_rows, bool)), b.column("row")], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(fp.view(np.int64)), pa.array(np.zeros(b.num_rows, bool)), b.column("row"), *map(pa.array, bitmaps(grams, off))], names=names)
             new = [i for i, x in enumerate(fp.tolist()) if x and not (x in seen or seen.add(x))]
             held += [grams[off[i] : off[i + 1]] for i in new]
             n += sum(len(x) for x in held[len(held) - len(new) :])
@@ -92,7 +126,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
         if n:
             yield from hot()
 
-    return docs.select("doc_id", "text", text_hash().alias("row")).mapInArrow(run, f"doc_id {kind}, n long, fp long, hot boolean, row long")
+    return docs.select("doc_id", "text", text_hash().alias("row")).mapInArrow(run, f"doc_id {kind}, n long, fp long, hot boolean, row long, " + ", ".join(f"{m} long" for m in MAPS))
 
 
 def fragments_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -281,7 +315,7 @@ def can_reach(n1: str, n2: str, most1: str, most2: str, num: int, den: int) -> C
 
 
 def vertices(spark: SparkSession, docs: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, row, n, fp); members (sig, node, n, centre, most) of the groups that share a prefix n-gram; the members' sets in parts."""
+    """Rows (doc_id, row, n, fp); members (sig, node, n, centre, most, bitmap) of the groups that share a prefix n-gram; the members' sets in parts."""
     described = materialize(spark, describe(docs, shingle), "sets")
     meta = described.where("not hot").select("doc_id", "row", "n", "fp")
     hot_rows = described.where("hot").groupBy("fp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "fp").limit(MAX_HOT).collect()
@@ -291,29 +325,62 @@ def vertices(spark: SparkSession, docs: DataFrame, shingle: int, num: int, den:
     prefix = materialize(spark, prefixes(spark, docs, shingle, num, den, hot, groups, max(8, groups // 8)), "prefixes")
     centres = prefix.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("sig", "centre")
     most = prefix.groupBy("node").agg(F.max("most").alias("most"))
-    members = materialize(spark, prefix.drop("most").distinct().join(centres, "sig").join(most, "node"), "buckets")
+    maps = described.where("not hot and n > 0").groupBy(F.col("fp").alias("node")).agg(*(F.min(m).alias(m) for m in MAPS))
+    members = materialize(spark, prefix.drop("most").distinct().join(centres, "sig").join(most, "node").join(maps, "node"), "buckets")
     drop_path(spark, prefix.table_path)
     wanted = members.select("node").union(members.select("centre")).distinct()
     holders = meta.where("n > 0").groupBy(F.col("fp").alias("node")).agg(F.min(id_key()).alias("key"))
     return meta, members, materialize(spark, segments(docs, holders.join(wanted, "node"), shingle), "segments")
 
 
+def with_components(spark: SparkSession, members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The members with comp, the component of their node as far as it is known."""
+    if label is None:
+        placed = members.withColumn("comp", F.col("node"))
+    else:
+        placed = members.join(label.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return materialize(spark, placed.select("sig", "node", "n", "most", *MAPS, "comp"), "placed")
+
+
+def star_pairs(placed: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """a, b: members, each with centres of the groups that it is in and that hold other components too.
+
+    A group has one centre in the first turn, when hardly any member is linked yet, and SLOTS others in each later one. A
+    member goes with the centre that it shares most groups with, later with the PICKS of them.
+    """
+    slots, picks = (SLOTS, PICKS) if turn else (1, 1)
+    carried = ["node", "n", "most", "comp", *MAPS]
+    drawn = F.xxhash64("node", F.lit(turn))
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
+    placed = placed.join(mixed, "sig")
+    centre = placed.groupBy("sig", F.pmod(drawn, F.lit(slots)).alias("slot")).agg(*(F.min_by(c, drawn).alias("c_" + c) for c in carried)).drop("slot")
+    close = can_reach("n", "c_n", "most", "c_most", num, den) & near("m", "c_m", F.col("n"), F.col("c_n"), num, den)
+    met = placed.join(centre, "sig").where((F.col("comp") != F.col("c_comp")) & close).groupBy("node", "c_node").agg(F.count("*").alias("count"))
+    best = met.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "c_node")))
+    return best.where(F.col("place") <= picks).select(F.col("c_node").alias("a"), F.col("node").alias("b"))
+
+
 def labelled(spark: SparkSession, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """doc_id, row (hash of the text), n_shingles and component_id of every row of ``docs``."""
     meta, members, parts = vertices(spark, docs, shingle, num, den)
-    centre_of = members.where("node = centre").select("sig", F.col("n").alias("nc"), F.col("most").alias("mc"))
-    stars = members.where("node <> centre").join(centre_of, "sig").where(can_reach("n", "nc", "most", "mc", num, den)).groupBy("centre", "node").agg(F.count("*").alias("count")).groupBy("node").agg(F.max(F.struct("count", (-F.col("centre")).alias("other"))).alias("best"))
-    first = materialize(spark, stars.select((-F.col("best.other")).alias("a"), F.col("node").alias("b")), "pairs")
-    links = materialize(spark, verified(first, parts, num, den), "links")
-    label = connected_components(spark, links)
-
-    in_comp = members.select("sig", "node", "n", "most").join(label.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = materialize(spark, in_comp, "placed")
+    label, tested, links = None, [], []
+    for turn in range(ROUNDS):
+        placed = with_components(spark, members, label)
+        pairs = materialize(spark, star_pairs(placed, turn, num, den), "pairs")
+        found = materialize(spark, verified(pairs, parts, num, den), "links")
+        tested.append(pairs)
+        drop_path(spark, placed.table_path)
+        if turn and found.isEmpty():
+            drop_path(spark, found.table_path)
+            break
+        links.append(found)
+        label = connected_components(spark, reduce(DataFrame.union, links))
+    placed = with_components(spark, members, label)
     per = placed.groupBy("sig", "comp").count().groupBy("sig").agg(F.max(F.struct("count", "comp")).alias("most"), F.count("*").alias("comps"))
     mixed = placed.join(per.where("comps > 1").select("sig", F.col("most.comp").alias("major")), "sig")
-    x = mixed.where("comp <> major").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("comp").alias("cx"))
-    y = mixed.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("comp").alias("cy"), "major")
-    close = can_reach("nx", "ny", "mx", "my", num, den) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
+    x = mixed.where("comp <> major").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("comp").alias("cx"), *(F.col(m).alias("x" + m) for m in MAPS))
+    y = mixed.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("comp").alias("cy"), "major", *(F.col(m).alias("y" + m) for m in MAPS))
+    close = can_reach("nx", "ny", "mx", "my", num, den) & near("xm", "ym", F.col("nx"), F.col("ny"), num, den) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
     across = x.join(y, "sig").where(close)
     swap = F.col("x") < F.col("y")
     across = across.select(*(F.when(swap, F.col(p)).otherwise(F.col(q)).alias(name) for p, q, name in (("x", "y", "a"), ("y", "x", "b"), ("cx", "cy", "ca"), ("cy", "cx", "cb"), ("nx", "ny", "na"), ("ny", "nx", "nb"))))
@@ -321,11 +388,11 @@ def labelled(spark: SparkSession, docs: DataFrame, shingle: int, num: int, den:
     after = F.greatest(*(-F.floor(-F.col(n) * num / den) - 1 for n in ("na", "nb"))).cast("long")
     across = across.groupBy(*across.columns).agg(F.count("*").alias("met")).withColumn("both", F.col("met") + after)
     across = across.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b", "ca", "cb")
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = materialize(spark, across.join(tested, ["a", "b"], "left_anti"), "pairs")
+    done = reduce(DataFrame.union, tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = materialize(spark, across.join(done, ["a", "b"], "left_anti"), "pairs")
     joins = connected_components(spark, verified(second, parts, num, den).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    for done in (members, placed, first, second, parts, links):
-        drop_path(spark, done.table_path)
+    for old in (members, placed, second, parts, *tested, *links):
+        drop_path(spark, old.table_path)
 
     label = label.toDF("fp", "c1")
     joined = meta.join(label, "fp", "left").withColumn("c1", F.coalesce("c1", "fp")).join(joins.toDF("c1", "c2"), "c1", "left")
@@ -356,8 +423,9 @@ def link_counts(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int
     Unlike the components, this tests every pair of different sets that share a prefix n-gram, in a group of n near copies n² / 2.
     """
     meta, members, parts = vertices(spark, docs, shingle, num, den)
-    a, b = (members.select("sig", *(F.col(c).alias(f"{c}{x}") for c in ("node", "n", "most"))) for x in "ab")
-    pairs = a.join(b, "sig").where((F.col("nodea") < F.col("nodeb")) & can_reach("na", "nb", "mosta", "mostb", num, den)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    a, b = (members.select("sig", *(F.col(c).alias(f"{c}{x}") for c in ("node", "n", "most")), *(F.col(m).alias(x + m) for m in MAPS)) for x in "ab")
+    both = can_reach("na", "nb", "mosta", "mostb", num, den) & near("am", "bm", F.col("na"), F.col("nb"), num, den)
+    pairs = a.join(b, "sig").where((F.col("nodea") < F.col("nodeb")) & both).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
     pairs = materialize(spark, pairs, "pairs")
     links = materialize(spark, verified(pairs, parts, num, den), "links")
     copies = meta.where("n > 0").groupBy("fp").agg(F.count("*").alias("copies"))
