@@ -47,6 +47,8 @@ HOT_DOCS, HOT_PART, MAX_HOT = 32, 0.01, 1_000_000
 #: Turns of comparing members with the centres of their groups, before all that is left is compared; the centres of a
 #: group in a turn; those of them that a member is compared with.
 ROUNDS, SLOTS, PICKS = 4, 8, 4
+#: Sets with so many prefix n-grams that other components have carry them along in the last comparison.
+FEW = 64
 #: A set's bitmap has so many times 64 bits.
 BITMAPS = 4
 U1 = T.U(1)
@@ -377,21 +379,27 @@ def labelled(spark: SparkSession, docs: DataFrame, shingle: int, num: int, den:
         label = connected_components(spark, reduce(DataFrame.union, links))
     placed = with_components(spark, members, label)
     per = placed.groupBy("sig", "comp").count().groupBy("sig").agg(F.max(F.struct("count", "comp")).alias("most"), F.count("*").alias("comps"))
-    mixed = placed.join(per.where("comps > 1").select("sig", F.col("most.comp").alias("major")), "sig")
-    x = mixed.where("comp <> major").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("comp").alias("cx"), *(F.col(m).alias("x" + m) for m in MAPS))
-    y = mixed.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("comp").alias("cy"), "major", *(F.col(m).alias("y" + m) for m in MAPS))
-    close = can_reach("nx", "ny", "mx", "my", num, den) & near("xm", "ym", F.col("nx"), F.col("ny"), num, den) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
-    across = x.join(y, "sig").where(close)
+    shared = materialize(spark, placed.join(per.where("comps > 1").select("sig", F.col("most.comp").alias("major")), "sig"), "shared")
+    few = shared.groupBy("node").agg(F.collect_list("sig").alias("sigs")).select("node", F.when(F.size("sigs") <= FEW, F.col("sigs")).alias("sigs"))
+    mixed = shared.join(few, "node")
+    x, y = (mixed.select("sig", "major", F.col("node").alias(s), *(F.col(c).alias(d + s) for c, d in (("n", "n"), ("most", "m"), ("comp", "c"), ("sigs", "s"))), *(F.col(m).alias(s + m) for m in MAPS)) for s in "xy")
+    # of what two sets share, all up to where the first of their prefixes ends meets here; the rest lies after a prefix
+    after = F.greatest(*(-F.floor(-F.col(n) * num / den) - 1 for n in ("nx", "ny"))).cast("long")
+    enough = lambda met: den * (met + after) >= num * (F.col("nx") + F.col("ny") - met - after)
+    # sets with few n-grams here carry them, so that a pair counts them at once and meets but once, at the least of them
+    common = F.array_intersect("sx", "sy")
+    once = F.when(F.col("sx").isNull() | F.col("sy").isNull(), True).otherwise((F.array_min(common) == F.col("sig")) & enough(F.size(common)))
+    close = can_reach("nx", "ny", "mx", "my", num, den) & near("xm", "ym", F.col("nx"), F.col("ny"), num, den)
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
+    across = x.where("cx <> major").drop("major").join(y, "sig").where(apart & close & once).withColumn("met", F.when(F.col("sx").isNull() | F.col("sy").isNull(), 1).otherwise(F.size(common)))
     swap = F.col("x") < F.col("y")
-    across = across.select(*(F.when(swap, F.col(p)).otherwise(F.col(q)).alias(name) for p, q, name in (("x", "y", "a"), ("y", "x", "b"), ("cx", "cy", "ca"), ("cy", "cx", "cb"), ("nx", "ny", "na"), ("ny", "nx", "nb"))))
-    # of what two sets share, all up to where the first of their prefixes ends has met here; the rest lies after a prefix
-    after = F.greatest(*(-F.floor(-F.col(n) * num / den) - 1 for n in ("na", "nb"))).cast("long")
-    across = across.groupBy(*across.columns).agg(F.count("*").alias("met")).withColumn("both", F.col("met") + after)
-    across = across.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b", "ca", "cb")
+    sides = (("x", "y", "a"), ("y", "x", "b"), ("cx", "cy", "ca"), ("cy", "cx", "cb"))
+    across = across.groupBy("nx", "ny", *(F.when(swap, F.col(p)).otherwise(F.col(q)).alias(name) for p, q, name in sides)).agg(F.sum("met").alias("met"))
+    across = across.where(enough(F.col("met"))).select("a", "b", "ca", "cb").distinct()
     done = reduce(DataFrame.union, tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = materialize(spark, across.join(done, ["a", "b"], "left_anti"), "pairs")
     joins = connected_components(spark, verified(second, parts, num, den).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    for old in (members, placed, second, parts, *tested, *links):
+    for old in (members, placed, second, parts, shared, *tested, *links):
         drop_path(spark, old.table_path)
 
     label = label.toDF("fp", "c1")
@@ -430,8 +438,8 @@ def link_counts(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int
     links = materialize(spark, verified(pairs, parts, num, den), "links")
     copies = meta.where("n > 0").groupBy("fp").agg(F.count("*").alias("copies"))
     two_ways = links.select("a", "b").union(links.select("b", "a")).toDF("fp", "other")
-    near = two_ways.join(copies.toDF("other", "rows"), "other").groupBy("fp").agg(F.sum("rows").alias("near"))
-    counts = copies.join(near, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    others = two_ways.join(copies.toDF("other", "rows"), "other").groupBy("fp").agg(F.sum("rows").alias("near"))
+    counts = copies.join(others, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
     for done in (members, parts, pairs):
         drop_path(spark, done.table_path)
     return meta.join(counts, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
