@@ -23,6 +23,20 @@ STOPWORDS = (
     "your yours yourself yourselves"
 ).split()
 CONTENT_STOPWORDS = "a an and are as at be been but by for from had has have i if in is it of on or that the then to was were will with".split()
+DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
+CLAUSE_SPLIT = r"(?:[.!?;\n]+|[\s\p{Z}]+[—–-][\s\p{Z}]+)"
+GOOGLE_KEY = r"AIza[0-9A-Za-z_-]{20,}"
+BEARER = r"(?i)bearer\s+[A-Za-z0-9._~+\-/]+=*"
+SECRET_KEY = r"(?i)(?:api.?key|authorization|credential|secret|token|password|account.?id|billing.?id)"
+# < and > stand for the limits of a word
+CUES = {
+    "question": r"\?|<(?:unclear|unknown|unsure|undecided|can't tell|cannot tell|whether|not sure)>",
+    "time_or_condition": r"<(?:before|after|when|while|until|by|tonight|tomorrow|monday|tuesday|wednesday|thursday|friday|saturday|sunday|noon|morning|bed|closes?|opens?|returns?|arrives?)>",
+    "destination_or_location": r"<(?:to|into|in|on|at|beside|under|near)[\s\p{Z}]+(?:the|a|an|her|him|them|[a-z])",
+    "quantity": r"<(?:one|two|three|four|five|six|seven|eight|\p{Nd}+)>",
+    "tentative": r"<(?:maybe|might|may|perhaps|idea|consider|what if|could)>",
+}
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 TEMPORAL = r"(?i)\b(?:today|tonight|tomorrow|yesterday|morning|afternoon|evening|monday|tuesday|wednesday|thursday|friday|saturday|sunday|week|month|hour|minute|by|before|after)\b"
 QUANTITY = r"(?i)\b(?:\d+(?:\.\d+)?|one|two|three|four|five|six|seven|eight|nine|ten)\b"
 ENTITY = r"\b[A-Z][a-z]{2,}\b"
@@ -87,8 +101,43 @@ def sentence_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^.!?]+[.!?](?:\s|$)"))
 
 
+def segments(text: Column) -> Column:
+    """Clauses as they stand: cut at sentence marks, semicolons, line ends and dashes between white space."""
+    return F.split(text, CLAUSE_SPLIT)
+
+
 def clauses(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"[.!?;\n]+"), lambda c: normalize(c, False)), lambda c: c != "")
+    return F.filter(F.transform(segments(text), lambda c: normalize(c, False)), lambda c: c != "")
+
+
+def entity_terms(text: Column) -> Column:
+    """Sorted terms: days in lower case, numbers, and words with a capital that don't begin their sentence (but for I)."""
+    words = F.transform(F.split(text, "[.!?]+"), lambda s: F.regexp_extract_all(s, F.lit(r"([A-Za-z']+|\p{Nd}+)"), F.lit(1)))
+
+    def term(w: Column, i: Column) -> Column:
+        low = F.lower(w)
+        return F.when(low.isin(*DAYS), low).when(w.rlike(r"^\p{Nd}") | (w.rlike("^[A-Z]") & (i > 0) & (low != "i")), w)
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform(words, lambda ws: F.transform(ws, term))))))
+
+
+def cue(text: Column, name: str) -> Column:
+    """Whether a text has one of the cue phrases, whatever their case, as whole words."""
+    return F.coalesce(text.rlike("(?iu)" + CUES[name].replace("<", WORD_START).replace(">", WORD_END)), F.lit(False))
+
+
+def contains_secret(text: Column) -> Column:
+    """An API key, or a bearer token that isn't redacted."""
+    return F.coalesce(text.rlike(GOOGLE_KEY) | text.rlike(r"(?i)bearer\s+(?!\[REDACTED\])\S+"), F.lit(False))
+
+
+def redact_secrets(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, BEARER, "Bearer [REDACTED]"), GOOGLE_KEY, "[REDACTED]")
+
+
+def secret_key(name: Column) -> Column:
+    """Whether a key's name says that its value is to be redacted."""
+    return name.rlike(SECRET_KEY)
 
 
 def matches(text: Column, pattern: str, lower: bool = False) -> Column:

@@ -34,12 +34,6 @@ def apply_corrections(rows: DataFrame, corrections: DataFrame, key: str, field:
     return j.withColumn("drift", F.col("__hit").isNotNull() & ~fits).withColumn(field, F.when(fits, F.col("__n")).otherwise(F.col(field))).drop("__c", "__n", "__hit")
 
 
-def strict_pass(checks: Column) -> Column:
-    """Null if any check isn't scored, else whether all are true."""
-    v = F.map_values(checks)
-    return F.when(F.exists(v, lambda x: x.isNull()), F.lit(None).cast("boolean")).otherwise(F.forall(v, lambda x: x))
-
-
 def probe_passes(format_valid: Column, scores: Column, required: Column, checks: Column) -> Column:
     bad = F.exists(F.map_values(scores), lambda v: v.isNotNull() & (v != 2))
     unmet = F.exists(required, lambda d: F.coalesce(scores[d] != 2, F.lit(True)))

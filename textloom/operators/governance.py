@@ -141,3 +141,21 @@ def sorted_content(rows: DataFrame, text: str) -> tuple[int, str]:
             h.update(r[0].encode() if first else b"\n" + r[0].encode())
             first = False
     return n, h.hexdigest()
+
+
+def split_conditions(split: str) -> list[tuple[str, Column]]:
+    """The ten conditions, in order, for the use of a manifest entry in ``split``; columns w, confirmed, d, a, split and uses."""
+    use = lambda name: F.col(f"uses.{name}")
+    no = use("training").eqNullSafe(F.lit(False)) & use("publication").eqNullSafe(F.lit(False))
+    return [
+        ("withdrawal_status", F.col("w") == "active"),
+        ("author_confirmed", F.col("confirmed")),
+        ("deidentification_status", F.col("d") == "approved"),
+        ("annotation_status", F.col("a") == "adjudicated"),
+        ("split", F.col("split") == split),
+        ("allowed_uses", F.col("uses").isNotNull()),
+        ("training_or_publication", no),
+        ("private_annotation", use("annotation")),
+        ("private_evaluation", use("evaluation")),
+        ("holdout_eligible", use("holdout") if split == "real_holdout" else F.lit(True)),
+    ]

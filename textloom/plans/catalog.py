@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import collision as C
 from ..operators import curation as K
 from ..operators import ledger as L
+from ..operators import reports as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,7 +154,7 @@ FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.lang""")
 def strict_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rate is null if any row isn't scored."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    strict = K.strict_pass(F.create_map(F.lit("quality"), F.col("quality") == 1, F.lit("clean"), F.col("toxic") == 0))
+    strict = R.strict_pass(F.lit(True), F.create_map(F.lit("quality"), F.col("quality") == 1), ["quality"], F.create_map(F.lit("clean"), F.col("toxic") == 0))
     unscored = F.count_if(F.col("quality").isNull())
     return d.groupBy("lang").agg(F.when(unscored > 0, F.lit(None)).otherwise(F.concat(F.sum((F.col("quality") == 1).cast("long")).cast("string"), F.lit("/"), F.count("*").cast("string"))).alias("rate"), unscored.alias("unscored"), F.sum(F.coalesce(strict, F.lit(False)).cast("long")).alias("strict"))
 
