@@ -290,6 +290,56 @@ def test_html_drops_what_hidden_elements_hold():
     assert html_extract.main_text(f"<article><p>{LONG} {inside} {LONG}</p><p>{LONG}</p></article>") == f"{LONG} {LONG}\n{LONG}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article class="comments-enabled"><p>Body of it here.</p></article>', "Body of it here."),
+        ('<div class="post"><p>Short.</p></div>', "Short."),
+        ("<nav><a href=x>Home</a></nav>", ""),
+        ('<section class="comments"><p>' + "a reader says. " * 20 + "</p></section>", ""),
+        ("<section id='user-comments'><p>" + "a reader says. " * 20 + "</p></section>", ""),
+    ],
+)
+def test_html_names_and_short_pages(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_html_keeps_a_section_named_by_its_subject():
+    page = "<article><p>" + "long text. " * 20 + '</p><section id="related-work"><p>' + "more of it. " * 10 + "</p></section></article>"
+    assert html_extract.main_text(page).endswith("more of it.")
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>" + "some words. " * 9), (2, None, ""), (3, "w", "<p>" + "x y. " * 50_000)]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, text int, n_chars int")
+    same(html_extract.extract(pages).collect(), [(i, u, t, len(t)) for i, u, h in rows for t in [html_extract.main_text(h)]])
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [])
+    at = common.new_path(spark, "none")
+    none.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{at}/benchmark.parquet")
+    from textloom.llm import queries
+
+    for name, q in queries.queries().items():
+        assert q(spark, at).count() == 0, name
+
+
+def test_token_starts_with_several_files_a_task(spark):
+    rows = [(i, words(1 + i % 7)) for i in range(90)]
+    path, tok = common.new_path(spark, "ids"), common.tokenizer_path(token_output.TOKENIZER)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "10")
+    try:
+        token_output.write_tokens(frame(spark, rows), path, tok)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    same(token_output.read_tokens(spark, path).collect(), token_output.brute_force(rows, tok))
+
+
 def test_html_time_is_in_proportion():
     import time
 

@@ -8,7 +8,9 @@ positions, and the covered words merge into removal spans. No shuffle: the bench
 bounded size, whatever its total size, and every shard is searched for every block.
 
 Null and empty texts have no words and no hits. A benchmark row without words has no window. Rows that repeat are
-judged each on its own. A null item_id counts as the empty string.
+judged each on its own. A null item_id counts as the empty string. Long texts are
+judged whole; items that tie on a window all count; an empty table gives an empty table, an empty benchmark no hits; other
+columns pass through whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Null and empty html gives an empty text. Broken markup is read as far as it goes
 parent, stray end tags are ignored, an unclosed comment, script, style, textarea or title runs to the end. A tag ends at
 its '>'; a quote hides one only around a value, after '=', and if it is closed. What a button, select, object and the
 like (HIDDEN) hold isn't text; one without an end tag of its own ends with its parent or before the next block-level
-tag. Each row is judged alone.
+tag. Where the cut leaves nothing, as on a page of a few words, the blocks that neither an element nor a name speaks
+against are the text. Each row is judged alone, so repeated rows give equal texts; pages are read whole, however long; an
+empty table gives an empty table; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ NAMES = re.compile(
     r"(?<![a-z])(?:(ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscri\w*|sign-?up|log-?in|register|shar(?:e|ing)|socials?|related|recommend\w*|side-?bar|side|widgets?|menus?|nav(?:bar|igation)?|breadcrumbs?|pag(?:er|ination)|foot(?:er)?|head(?:er)?|masthead|comments?|commentlist|disqus|repl(?:y|ies)|respond|reactions?|toolbar|search|copyright|legal|disclaimer|hidden|skip)"
     r"|(article|main|content|story|post-?(?:body|content|text)|entry(?:-content)?|body-?text|article-?body|prose))(?![a-z])"
 )
+SUBJECTS = frozenset("article main section".split())
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -52,6 +55,18 @@ SPACE = re.compile(r"\s+")
 UNIT = 16  # capacities are whole numbers of 1 / UNIT
 
 
+def named(tag: str, names: str) -> list[tuple[str, str]]:
+    """What of the names of an element speaks against it, or for it.
+
+    An article, main or section may be named by its subject or state (related-work, comments-enabled): there a name counts
+    as a whole or by its last part, elsewhere by any part.
+    """
+    if tag not in SUBJECTS:
+        return NAMES.findall(names)
+    parts = (x for name in names.strip("\"'").split() for x in dict.fromkeys((name, name.replace("_", "-").rsplit("-", 1)[-1])))
+    return [m.groups(default="") for m in map(NAMES.fullmatch, parts) if m]
+
+
 class Element:
     __slots__ = ("tag", "parent", "depth", "bias", "inside")
 
@@ -65,7 +80,7 @@ class Element:
             for k, v in ATTRIBUTE.findall(attributes):
                 k = k.lower()
                 if k in ("class", "id", "role"):
-                    for bad, good in NAMES.findall(entities.unescape(v).lower()):
+                    for bad, good in named(tag, entities.unescape(v).lower()):
                         if good:
                             own += 2
                         elif not (bad.startswith("head") and parent and parent.inside) and tag not in ("body", "html"):
@@ -285,6 +300,8 @@ def main_text(page: str | None) -> str:
             edges.append((last[key], i, round(0.4 * UNIT)))
         last[key] = i
     keep = minimum_cut([max(s, 0) for s in scores], [max(-s, 0) for s in scores], edges)
+    if not any(keep):  # a page of a few words: all that no element or name speaks against
+        keep = [b.element.bias >= 0 and b.links < 0.5 for b in blocks]
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 

@@ -23,6 +23,8 @@ n copies costs a few n tests, and no link between components is lost.
 Null and empty texts have an empty set and link with nothing. Texts of fewer than n words have one n-gram, the whole
 sequence. Copies with equal sets are one vertex (64-bit fingerprint of the set), so repeated rows and null ids need no
 care: a row with a null doc_id takes part, and its component is the smallest id that isn't null, or null.
+Long texts are taken whole; an empty table gives an empty table; doc_id must be castable to a whole number; other columns
+stay out of the way, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import connected_components, drop_path, id_key, materialize, text_hash
+from .common import connected_components, drop_path, id_key, materialize, text_hash, unused
 
 FRAGMENTS = 4
 #: n-grams that a block of documents gathers, and that a fragment holds.
@@ -421,8 +423,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int =
     """
     found = labelled(spark, docs, shingle, num, den)
     gone = found.where("n_shingles > 0 and component_id is not null and (doc_id is null or doc_id <> component_id)")
-    keyed = docs.withColumn("__key", id_key()).withColumn("__row", text_hash())
-    return keyed.join(gone.select(id_key().alias("__key"), F.col("row").alias("__row")).distinct(), ["__key", "__row"], "left_anti").select(*docs.columns)
+    key, row = unused(docs, "key", "row")
+    keyed = docs.withColumn(key, id_key()).withColumn(row, text_hash())
+    return keyed.join(gone.select(id_key().alias(key), F.col("row").alias(row)).distinct(), [key, row], "left_anti").select(*docs.columns)
 
 
 def link_counts(spark: SparkSession, docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:

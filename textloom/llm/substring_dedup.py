@@ -13,7 +13,9 @@ Hot passages: each block of documents first finds its own repeats and sends just
 so a group gets a path once per block, however many documents hold it. Shuffled per suffix: about 8 bytes.
 
 Null and empty texts have no words. Rows with a null doc_id count as larger than all others. Rows that repeat with
-the same doc_id don't remove each other's words. Texts of fewer than k words stay whole.
+the same doc_id don't remove each other's words. Texts of fewer than k words stay whole; long ones are
+taken whole. An empty table gives an empty table. doc_id must be castable to a whole number; columns beside it and text are
+not looked at.
 """
 
 from __future__ import annotations

@@ -1,14 +1,15 @@
 """Token ids in ORC files: encode, write in ascending doc_id order, read back by stripes.
 
 Texts are dealt out by ranges of doc_id, sorted, encoded, and written with row indexes, a Bloom filter on doc_id and
-integer run-length encoding (ORC's for int columns); files are in the order of their partition numbers. ``start`` in
-a file is stored, and the files' totals give the rest, so reading needs no sort and no window over all rows.
+integer run-length encoding (ORC's for int columns); files are in the order of their partition numbers. Stored is
+``start`` within a task, and the tasks' totals give the rest, so reading needs no sort and no window over all rows.
 
 Encoding is by white-space-separated chunks: the tokenizer never joins ids across white space, so a chunk that comes
 again costs a lookup. Each worker keeps a bounded table of chunks.
 
 A null text counts as empty and gives the end id alone. Rows with a null doc_id come first. Rows with the same doc_id
-are ordered by text.
+are ordered by text, so repeated rows follow each other. Long texts are encoded whole; an empty table gives an empty
+table; columns beside doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -114,13 +115,13 @@ def read_tokens(spark: SparkSession, path: str, doc_id_type: str = "bigint") ->
     table = spark.read.schema(f"doc_id {doc_id_type}, start long, ids array<int>").orc(path)
     read = table.select("doc_id", F.col("_metadata.file_name").alias("file"), "start", "ids").mapInArrow(run, f"doc_id {doc_id_type}, file string, start long, n_tokens long, ids_crc32 long")
     rows = materialize(spark, read, "tokens")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).collect()  # a row for each file
-    base, bases = 0, []
-    for r in sorted(totals, key=lambda r: [int(x) for x in r.file.removeprefix("part-").split("-")[:1]] + [r.file]):
-        bases.append((r.file, base))
-        base += r.total
-    files = spark.createDataFrame(bases, "file string, base long")
-    return rows.join(F.broadcast(files), "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    # a task's files share its partition number and its running start, however many it wrote
+    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    totals = rows.groupBy(part.alias("part")).agg(F.sum("n_tokens").alias("total"))  # a row for each task that wrote
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    joined = rows.withColumn("part", part).join(bases, "part")
+    return joined.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

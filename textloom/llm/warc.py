@@ -10,7 +10,8 @@ record is parsed and its payload tested against its digest.
 
 The meeting of equal payloads is on digests alone, with a partial aggregate; a digest of many pages is one row there,
 and the join back is on 40-byte rows. Null html counts as empty. A null page_id counts as larger than all others. Of
-repeated rows with the smallest page_id each is a response.
+repeated rows with the smallest page_id each is a response. Pages of any length are one record; an empty table gives an
+empty table; columns beside page_id, url and html are not looked at. page_id must be castable to a whole number.
 """
 
 from __future__ import annotations
