@@ -2,36 +2,66 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import json_object, json_string
+
 MILLION = 1_000_000
 
 
-def row_json(prior: Column, sequence: Column, payload: Column) -> Column:
-    """Canonical JSON: keys sorted, no spaces, a newline at the end."""
-    body = F.to_json(F.struct(payload.alias("x")))
-    return F.concat(F.lit('{"payload":'), F.substring(body, F.lit(6), F.length(body) - 6), F.lit(',"prior_row_hash":'), F.coalesce(F.concat(F.lit('"'), prior, F.lit('"')), F.lit("null")), F.lit(',"sequence":'), sequence.cast("string"), F.lit("}\n"))
+def member(df: DataFrame, name: str) -> Column:
+    """A column as canonical JSON: strings quoted, numbers and booleans as they are, nulls as null."""
+    c = F.col(name)
+    return json_string(c) if dict(df.dtypes)[name] == "string" else F.coalesce(c.cast("string"), F.lit("null"))
+
+
+def row_json(df: DataFrame, payload: list[str], prior: Column, sequence: Column) -> Column:
+    """Canonical JSON of a ledger row of any fields: keys sorted, no spaces, a newline at the end."""
+    members = {**{p: member(df, p) for p in payload}, "prior_row_hash": prior, "sequence": sequence.cast("string")}
+    return F.concat(json_object(members), F.lit("\n"))
+
 
+def build_chain(rows: DataFrame, run: str, order: str, payload: str | list[str]) -> DataFrame:
+    """run, sequence (1..), the payload's fields, prior_row_hash, row_hash.
 
-def build_chain(rows: DataFrame, run: str, order: str, payload: str) -> DataFrame:
-    """run, sequence (1..), payload, prior_row_hash, row_hash. One run is one group: a fold over its ordered payloads."""
-    folded = rows.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(order, payload))).alias("r"))
-    empty = F.array().cast("array<struct<sequence:int,payload:string,prior_row_hash:string,row_hash:string>>")
+    A row needs the hash of the one before, so a run is hashed by one task, row after row as they come in order; only the
+    last hash is kept, and runs of any length fit.
+    """
+    fields = [payload] if isinstance(payload, str) else payload
+    numbered = rows.withColumn("sequence", F.row_number().over(Window.partitionBy(run).orderBy(order)))
+    mark = "\x00"
+    texts = numbered.select(run, "sequence", *fields, row_json(numbered, fields, F.lit(mark), F.col("sequence")).alias("row"))
+    kinds = ", ".join(f"`{c}` {k}" for c, k in texts.dtypes if c != "row")
 
-    def step(acc: Column, x: Column) -> Column:
-        prior = F.when(F.size(acc) > 0, F.element_at(acc, -1)["row_hash"])
-        seq = F.size(acc) + 1
-        return F.concat(acc, F.array(F.struct(seq.alias("sequence"), x[payload].alias("payload"), prior.alias("prior_row_hash"), F.sha2(row_json(prior, seq, x[payload]), 256).alias("row_hash"))))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, prior = None, None
+        for b in batches:
+            priors, hashes = [], []
+            for key, text in zip(b.column(run).to_pylist(), b.column("row").to_pylist(), strict=True):
+                if (key,) != at:
+                    at, prior = (key,), None
+                priors.append(prior)
+                prior = hashlib.sha256(text.replace(mark, "null" if prior is None else f'"{prior}"', 1).encode()).hexdigest()
+                hashes.append(prior)
+            kept = [c for c in b.schema.names if c != "row"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(priors, pa.string()), pa.array(hashes, pa.string())], names=[*kept, "prior_row_hash", "row_hash"])
 
-    return folded.select(run, F.explode(F.aggregate("r", empty, step)).alias("c")).select(run, "c.*")
+    in_order = texts.repartition(run).sortWithinPartitions(run, "sequence")
+    return in_order.mapInArrow(fold, f"{kinds}, prior_row_hash string, row_hash string")
 
 
-def verify_chain(chain: DataFrame, run: str) -> DataFrame:
+def verify_chain(chain: DataFrame, run: str, payload: list[str] | None = None) -> DataFrame:
     """run, n and the first broken sequence (null if whole): order, prior hash and own hash are tested row by row."""
+    fields = payload or ["payload"]
     w = Window.partitionBy(run).orderBy("sequence")
     tested = chain.withColumns({"__i": F.row_number().over(w), "__p": F.lag("row_hash").over(w)})
-    good = (F.col("sequence") == F.col("__i")) & F.col("prior_row_hash").eqNullSafe(F.col("__p")) & (F.col("row_hash") == F.sha2(row_json(F.col("prior_row_hash"), F.col("sequence"), F.col("payload")), 256))
+    own = F.sha2(row_json(chain, fields, json_string(F.col("prior_row_hash")), F.col("sequence")), 256)
+    good = (F.col("sequence") == F.col("__i")) & F.col("prior_row_hash").eqNullSafe(F.col("__p")) & F.col("row_hash").eqNullSafe(own)
     return tested.groupBy(run).agg(F.count("*").alias("n"), F.min(F.when(~good, F.col("sequence"))).alias("first_broken"))
 
 

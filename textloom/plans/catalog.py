@@ -202,16 +202,42 @@ UNION ALL SELECT e.user_id, e.sequence, c.row_hash, sha256('{"payload":"' || e.p
 @query(_CHAIN + " SELECT user_id, CAST(sequence AS INTEGER) AS sequence, prior_row_hash, row_hash FROM c")
 def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1."""
-    return L.build_chain(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type").drop("payload")
+    return L.build_chain(table(spark, sf_dir, "events").withColumnRenamed("event_type", "payload"), "user_id", "event_id", "payload").drop("payload")
 
 
 @query("SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN 3 END AS first_broken FROM events GROUP BY user_id")
 def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2: every third row's payload was tampered with."""
-    c = L.build_chain(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+    c = L.build_chain(table(spark, sf_dir, "events").withColumnRenamed("event_type", "payload"), "user_id", "event_id", "payload")
     return L.verify_chain(c.withColumn("payload", F.when(F.col("sequence") % 3 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))), "user_id")
 
 
+_ROW = "sha256('{{\"kind\":\"' || kind || '\",\"label\":' || coalesce('\"' || label || '\"', 'null') || ',\"number\":' || number || ',\"prior_row_hash\":{0},\"sequence\":' || {1} || ',\"step\":' || step || '}}' || chr(10))"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_type AS kind, CASE WHEN event_id % 3 <> 0 THEN 'u' || user_id END AS label, event_id AS number, event_id % 7 AS step, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events),
+c AS (SELECT user_id, sequence, CAST(NULL AS VARCHAR) AS prior_row_hash, {_ROW.format("null", "1")} AS row_hash FROM e WHERE sequence = 1
+UNION ALL SELECT e.user_id, e.sequence, c.row_hash, {_ROW.format('"' + "' || c.row_hash || '" + '"', "e.sequence")} FROM c JOIN e ON e.user_id = c.user_id AND e.sequence = c.sequence + 1)
+SELECT user_id, CAST(sequence AS INTEGER) AS sequence, prior_row_hash, row_hash FROM c""")
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 for rows of several fields, with nulls and names on both sides of the chain's own."""
+    return L.build_chain(_ledger(spark, sf_dir), "user_id", "number", ["kind", "label", "number", "step"]).select("user_id", "sequence", "prior_row_hash", "row_hash")
+
+
+@query("SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 4 THEN 4 END AS first_broken FROM events GROUP BY user_id")
+def ledger_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 for rows of several fields; one field of every fourth row was changed."""
+    fields = ["kind", "label", "number", "step"]
+    rows = L.build_chain(_ledger(spark, sf_dir), "user_id", "number", fields)
+    return L.verify_chain(rows.withColumn("step", F.when(F.col("sequence") % 4 == 0, F.col("step") + 1).otherwise(F.col("step"))), "user_id", fields)
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    label = F.when(i % 3 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("kind"), label.alias("label"), i.alias("number"), (i % 7).alias("step"))
+
+
 @query("""WITH h AS (SELECT *, sha256(text) AS h FROM documents), p AS (SELECT DISTINCT h FROM h WHERE doc_id % 10 = 3)
 SELECT lang, CASE WHEN h IN (SELECT h FROM p) THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM h GROUP BY ALL""")
 def manifest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
