@@ -3,12 +3,14 @@
 import hashlib
 import json
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import canonical as J
 from textloom.functions import text as T
+from textloom.functions.responses import response_fault
 from textloom.operators import curation as K
 from textloom.operators import reports as R
 
@@ -65,3 +67,49 @@ def test_reports_refuse_what_they_do_not_know(spark):
     with pytest.raises(Exception, match="inconsistent record: x"):
         one.select(R.structured_pass(F.lit("x"), F.lit(True), [])).first()
     assert one.select(R.structured_pass(F.lit(None).cast("string"), F.lit(True), [F.lit(None).cast("boolean"), F.lit(False)])).first()[0] is False
+
+
+def plain_fault(raw):
+    def once(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError
+        return dict(pairs)
+
+    plain = lambda x: isinstance(x, str) and bool(x.strip()) and not any(unicodedata.category(c) == "Cc" for c in x)
+    try:
+        v = json.loads(raw, object_pairs_hook=once)
+    except ValueError:
+        return "response_json_invalid"
+    if not isinstance(v, dict) or set(v) != {"source_input", "proposed_output"}:
+        return "top_level_keys_invalid"
+    if not plain(v["source_input"]):
+        return "source_input_not_plain_string"
+    if not 80 <= len(re.findall(r"\b[\w'-]+\b", v["source_input"])) <= 220:
+        return "source_input_word_count_out_of_range"
+    o = v["proposed_output"]
+    if not isinstance(o, dict) or set(o) != {"narrative", "bullets", "action_items"}:
+        return "proposed_output_keys_invalid"
+    if not plain(o["narrative"]):
+        return "narrative_not_plain_string"
+    if not 1 <= len(re.findall(r"[^.!?]+[.!?](?:\s|$)", o["narrative"])) <= 4:
+        return "narrative_sentence_count_out_of_range"
+    for name, least, most in (("bullets", 2, 8), ("action_items", 1, 6)):
+        if not isinstance(o[name], list):
+            return "list_not_array"
+        if not least <= len(o[name]) <= most:
+            return "list_item_count_out_of_range"
+        if not all(map(plain, o[name])):
+            return "list_item_not_plain_string"
+    return None
+
+
+def test_responses_are_refused_for_the_first_reason(spark):
+    good = {"source_input": "word " * 100, "proposed_output": {"narrative": "One. Two.", "bullets": ["a", "b"], "action_items": ["c"]}}
+    swap = lambda **o: {**good, "proposed_output": {**good["proposed_output"], **o}}
+    values = [good, {**good, "x": 1}, {"source_input": "a"}, [good], 5, "s", {**good, "source_input": 5}, {**good, "source_input": " 　"}, {**good, "source_input": "a\u0001" * 90}, {**good, "source_input": "few words"}, {**good, "source_input": "w " * 221}]
+    values += [{**good, "proposed_output": None}, {**good, "proposed_output": []}, {**good, "proposed_output": {}}, swap(y=1), swap(narrative=None), swap(narrative="\t"), swap(narrative="no end"), swap(narrative="A. " * 5), swap(bullets="x"), swap(bullets=None), swap(bullets=["a"])]
+    values += [swap(bullets=["a"] * 9), swap(bullets=["a", 1]), swap(bullets=["a", " "]), swap(action_items=[]), swap(action_items=["a"] * 7), swap(action_items=["x\n"]), swap(action_items={"a": "b"})]
+    raws = [json.dumps(v) for v in values] + ["", "{", '{"source_input": "a", "source_input": "b", "proposed_output": 1}', json.dumps(good).replace('"narrative"', '"narrative": "z", "narrative"')]
+    rows = spark.createDataFrame([(r,) for r in raws], "raw string").select("raw", response_fault(F.col("raw")).alias("fault")).collect()
+    assert [(r.raw[:80], r.fault) for r in rows] == [(r[:80], plain_fault(r)) for r in raws]
+    assert len({r.fault for r in rows}) == 11 and spark.createDataFrame([(None,)], "raw string").select(response_fault(F.col("raw"))).first()[0] == "response_json_invalid"

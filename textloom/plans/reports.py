@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as J
 from ..functions import text as T
+from ..functions.responses import response_fault
 from ..operators import curation as K
 from ..operators import governance as G
 from ..operators import reports as R
@@ -183,3 +184,20 @@ def split_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     e = d.select("doc_id", F.when(i % 29 == 0, "withdrawn").otherwise("active").alias("w"), F.when(i % 23 != 0, i % 21 != 0).alias("confirmed"), F.when(F.col("toxic") == 1, "pending").otherwise("approved").alias("d"), F.when(F.col("quality") == 1, "adjudicated").otherwise("draft").alias("a"), F.when(F.col("lang") == "en", "real_holdout").otherwise("real_validation").alias("split"), uses.alias("uses"))
     return e.select("doc_id", G.first_failure(G.split_conditions("real_holdout")).alias("reason"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, replace(array_to_string((string_split(replace(text, chr(10), ' '), ' '))[1:300], ' '), chr(9), ' ') AS s, substr(replace(replace(text, chr(10), ' '), chr(9), ' '), 1, 200) AS n FROM documents),
+c AS (SELECT *, len(regexp_extract_all(s, '[''-]*[\p{L}\p{N}_][\p{L}\p{N}_''-]*')) AS words, len(regexp_extract_all(n, '[^.!?]+[.!?](?:\s|$)')) AS sentences FROM t)
+SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'response_json_invalid' WHEN doc_id % 19 = 0 THEN 'top_level_keys_invalid' WHEN trim(s) = '' OR regexp_matches(s, '[\x00-\x1f\x7f]') THEN 'source_input_not_plain_string' WHEN words NOT BETWEEN 80 AND 220 THEN 'source_input_word_count_out_of_range'
+WHEN doc_id % 23 = 0 THEN 'proposed_output_keys_invalid' WHEN trim(n) = '' THEN 'narrative_not_plain_string' WHEN sentences NOT BETWEEN 1 AND 4 THEN 'narrative_sentence_count_out_of_range'
+WHEN doc_id % 10 NOT BETWEEN 2 AND 8 THEN 'list_item_count_out_of_range' WHEN doc_id % 8 NOT BETWEEN 1 AND 6 THEN 'list_item_count_out_of_range' END AS fault FROM c""")
+def candidate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: responses made of the documents' words, some with faults of form."""
+    i, flat = F.col("doc_id"), F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
+    source = F.array_join(F.slice(F.split(flat, " "), 1, 300), " ")
+    items = lambda n: J.json_array(F.array_repeat(F.lit('"x"'), n.cast("int")))
+    output = {"narrative": J.json_string(F.substring(flat, 1, 200)), "bullets": items(i % 10), "action_items": items(i % 8)}
+    nested = F.when(i % 23 == 0, F.lit("{}")).otherwise(J.json_object(output))
+    good = J.json_object({"source_input": J.json_string(source), "proposed_output": nested})
+    raw = F.when(i % 17 == 0, F.lit("{")).when(i % 19 == 0, F.lit('{"source_input":"x"}')).otherwise(good)
+    return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", response_fault(F.col("raw")).alias("fault"))
