@@ -188,7 +188,7 @@ def ceiling_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT user_id, event_id, CAST(floor(value * 1000) AS BIGINT) AS cost FROM events), s AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
 SELECT user_id, count(*) AS n, min(CASE WHEN before + 50000 > 225000 THEN event_id END) AS first_refused, CAST(max(before) AS BIGINT) AS spent FROM s GROUP BY user_id""")
 def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L3, L4."""
+    """L3."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") * 1000).cast("long").alias("cost"))
     g = L.budget_gate(e, "user_id", "event_id", "cost", 50_000, 225_000)
     return g.groupBy("user_id").agg(F.count("*").alias("n"), F.min(F.when(~F.col("fits"), F.col("event_id"))).alias("first_refused"), F.max("spent_before").alias("spent"))
@@ -241,7 +241,7 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH h AS (SELECT *, sha256(text) AS h FROM documents), p AS (SELECT DISTINCT h FROM h WHERE doc_id % 10 = 3)
 SELECT lang, CASE WHEN h IN (SELECT h FROM p) THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM h GROUP BY ALL""")
 def manifest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row in ten is pinned, and all rows with the same text go with it."""
+    """One row in ten is pinned, and all rows with the same text go with it."""
     d = table(spark, sf_dir, "documents")
     pinned = d.where("doc_id % 10 = 3").select(F.sha2("text", 256).alias("input_sha256"))
     return K.split_by_manifest(d, pinned, "text").groupBy("lang", "split").agg(F.count("*").alias("n"))
