@@ -165,6 +165,16 @@ def training_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one_fingerprint(table(spark, sf_dir, "benchmark").select(order.alias("id"), pair.alias("entry")), lambda rows: rows, "training_fingerprint")
 
 
+@query("""SELECT CASE WHEN item_id % 3 = 0 THEN 'val' ELSE 'train' END AS arm, count(*) AS n, sha256('[' || string_agg('{"prompt":' || to_json(text) || ',"target":' || to_json(CAST(item_id AS VARCHAR)) || '}', ',' ORDER BY text, CAST(item_id AS VARCHAR)) || ']') AS fingerprint FROM benchmark GROUP BY 1""")
+def arm_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and data fingerprint of each arm of a curated set, bounded like dataset_fingerprint."""
+    pair = J.json_object({"prompt": J.json_string(F.col("text")), "target": J.json_string(F.col("item_id").cast("string"))})
+    b = table(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 3 == 0, "val").otherwise("train").alias("arm"), F.struct(F.col("text"), F.col("item_id").cast("string").alias("id"), pair.alias("entry")).alias("e"))
+    rows = b.limit(1_000_001).groupBy("arm").agg(F.array_sort(F.collect_list("e")).alias("r"))
+    bounded = F.when(F.size("r") > 1_000_000, F.raise_error(F.lit("more than 1000000 records"))).otherwise(F.col("r")["entry"])
+    return rows.select("arm", F.size("r").cast("long").alias("n"), F.sha2(J.json_array(bounded), 256).alias("fingerprint"))
+
+
 def _one_fingerprint(entries: DataFrame, whole, name: str, most: int = 1_000_000) -> DataFrame:
     rows = entries.limit(most + 1).agg(F.array_sort(F.collect_list(F.struct("id", "entry"))).alias("r"))
     bounded = F.when(F.size("r") > most, F.raise_error(F.lit(f"more than {most} records"))).otherwise(F.col("r")["entry"])

@@ -110,3 +110,17 @@ def historical_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs that an earlier pool doesn't hold yet."""
     d = table(spark, sf_dir, "documents")
     return C.uncovered(d.select(F.col("doc_id").alias("id"), "text"), d.where("doc_id % 2 = 0").select("text"))
+
+
+_TERMS = r"""(SELECT DISTINCT id, CASE WHEN lower(w) IN ('monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday') THEN lower(w) ELSE w END AS term FROM
+ (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT id, regexp_extract_all(s, '([A-Za-z'']+|\p{{Nd}}+)', 1) AS ws FROM (SELECT {1} AS id, unnest(regexp_split_to_array(text, '[.!?]+')) AS s FROM {0})))
+ WHERE lower(w) IN ('monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday') OR regexp_matches(w, '^\p{{Nd}}') OR (regexp_matches(w, '^[A-Z]') AND i > 1 AND lower(w) <> 'i'))"""
+
+
+@query(f"""WITH a AS {_TERMS.format("documents", "doc_id")}, b AS {_TERMS.format("benchmark", "item_id")}
+SELECT a.id AS left_id, b.id AS right_id, count(*) AS n_shared FROM a JOIN b ON a.term = b.term GROUP BY ALL HAVING count(*) >= 2""")
+def entity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items that share two names, numbers or days."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.entity_terms(F.col("text")).alias("elements"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.entity_terms(F.col("text")).alias("elements"))
+    return C.shared_terms(docs, items)
