@@ -113,3 +113,13 @@ def test_responses_are_refused_for_the_first_reason(spark):
     rows = spark.createDataFrame([(r,) for r in raws], "raw string").select("raw", response_fault(F.col("raw")).alias("fault")).collect()
     assert [(r.raw[:80], r.fault) for r in rows] == [(r[:80], plain_fault(r)) for r in raws]
     assert len({r.fault for r in rows}) == 11 and spark.createDataFrame([(None,)], "raw string").select(response_fault(F.col("raw"))).first()[0] == "response_json_invalid"
+
+
+def test_pairs_that_share_terms(spark):
+    from textloom.operators import collision as C
+
+    texts = ["We met Ann and Bob on Friday.", "Then Bob saw Ann.", "Then Ann left.", "On 12 May, friday.", "No names."]
+    side = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", T.entity_terms(F.col("t")).alias("elements"))
+    terms = [set(plain_terms(t)) for t in texts]
+    want = {(i, j, len(a & b)) for i, a in enumerate(terms) for j, b in enumerate(terms) if len(a & b) >= 2}
+    assert {tuple(r) for r in C.shared_terms(side, side).collect()} == want and (0, 1, 2) in want
