@@ -87,7 +87,19 @@ def operators(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["collision_screen"])
-def test_no_grams_are_shuffled(spark, name):
+@pytest.mark.parametrize("name, scans", [("collision_screen", 1), ("containment_gate", 2)])
+def test_no_grams_are_shuffled(spark, name, scans):
     plan = operators(entry.queries()[name](spark, SF))
-    assert "Generate" not in plan and plan.count("Scan parquet") == 1 and "Join" not in plan and "Exchange" not in plan
+    assert "Generate" not in plan and plan.count("MapInArrow") == plan.count("Scan parquet") == scans
+    assert "Join" not in plan or name == "containment_gate"  # of the pairs found
+    assert "Exchange" not in plan or name not in ("collision_screen", "screen_all_filtered", "screen_tokens_filtered")
+
+
+def test_gate_needs_no_similarities(spark):
+    a, b = texts()
+    frames = [spark.createDataFrame(list(enumerate(x)), "id long, text string") for x in (a, b)]
+    found = C.screen(*frames, similar=False)
+    want = [x[:3] for x in brute(enumerate(a), list(enumerate(b)), "base", False)[0]]
+    permitted = spark.createDataFrame([(i, j) for i, _, j in want[::2]], "left_id long, right_id long")
+    got = [tuple(r) for r in C.containment_gate(found, permitted).collect()]
+    assert sorted(got) == sorted(x for x in want if (x[0], x[2]) not in {(i, j) for i, _, j in want[::2]}) != []
