@@ -87,7 +87,7 @@ def operators(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name, scans", [("collision_screen", 1), ("containment_gate", 2), ("sampling_screen", 1), ("screen_all_filtered", 1)])
+@pytest.mark.parametrize("name, scans", [("collision_screen", 1), ("containment_gate", 2), ("sampling_screen", 1), ("screen_all_filtered", 1), ("screen_tokens_filtered", 1)])
 def test_no_grams_are_shuffled(spark, name, scans):
     plan = operators(entry.queries()[name](spark, SF))
     assert "Generate" not in plan and plan.count("MapInArrow") == plan.count("Scan parquet") == scans
