@@ -87,7 +87,7 @@ def operators(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name, scans", [("collision_screen", 1), ("containment_gate", 2), ("sampling_screen", 1), ("screen_all_filtered", 1), ("screen_tokens_filtered", 1)])
+@pytest.mark.parametrize("name, scans", [("collision_screen", 1), ("containment_gate", 2), ("sampling_screen", 1), ("screen_all_filtered", 1), ("screen_tokens_filtered", 1), ("selection_screen", 1)])
 def test_no_grams_are_shuffled(spark, name, scans):
     plan = operators(entry.queries()[name](spark, SF))
     assert "Generate" not in plan and plan.count("MapInArrow") == plan.count("Scan parquet") == scans
@@ -113,3 +113,24 @@ def test_gate_needs_no_similarities(spark):
     permitted = spark.createDataFrame([(i, j) for i, _, j in want[::2]], "left_id long, right_id long")
     got = [tuple(r) for r in C.containment_gate(found, permitted).collect()]
     assert sorted(got) == sorted(x for x in want if (x[0], x[2]) not in {(i, j) for i, _, j in want[::2]}) != []
+
+
+@pytest.mark.parametrize("largest", [False, True])
+@pytest.mark.parametrize("block", [300, 1 << 21])
+def test_maxima_and_ties(spark, monkeypatch, largest, block):
+    monkeypatch.setattr(R, "BLOCK", block)
+    a, b = texts()
+    left, right = list(enumerate(a)), list(enumerate(b, 100))
+    frames = [spark.createDataFrame(x, "id long, text string") for x in (left, right)]
+    found, top = brute(left, right, "base")
+
+    def best(i, k):
+        s = max((x for x, _ in top.get((i, k), [])), default=0)
+        return (s, (max if largest else min)(j for x, j in top[i, k] if x == s)) if s else (0.0, None)
+
+    want = [(i, i in {x[0] for x in found}, *best(i, 2), *best(i, 3)) for i, _ in left]
+    assert sorted(tuple(r) for r in C.maxima(*frames, largest_label=largest).collect()) == want
+    none = C.maxima(frames[0], frames[1].limit(0)).collect()
+    assert sorted(tuple(r) for r in none) == [(i, False, 0.0, None, 0.0, None) for i, _ in left]
+    twice = C.maxima(frames[0].union(frames[0]).selectExpr("id % 7 as id", "text"), frames[1]).collect()
+    assert sorted((r.left_id, r.token) for r in twice) == [(m, max(w[2] for w in want if w[0] % 7 == m)) for m in range(7)]

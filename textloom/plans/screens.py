@@ -61,9 +61,7 @@ def sampling_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM documents LEFT JOIN p ON a = doc_id GROUP BY doc_id""")
 def selection_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any collision is fatal; the two best scores of each text, without labels."""
-    a, b = (d.withColumn("norm", T.normalize(F.col("text"))) for d in _sides(spark, sf_dir))
-    out = C.maxima(a, b, C.screen(a, b), T.tokens(F.col("norm")), T.char_grams(F.col("norm")))
-    return out.select("left_id", "fatal", F.round("token", 9).alias("token"), F.round("gram", 9).alias("gram"))
+    return C.maxima(*_sides(spark, sf_dir)).select("left_id", "fatal", F.round("token", 9).alias("token"), F.round("gram", 9).alias("gram"))
 
 
 @query(f"""WITH x AS (SELECT item_id AS id, text, {NORM} AS norm, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' +'), lambda w: w <> '')) AS w FROM benchmark),
