@@ -391,3 +391,20 @@ def test_lowered_tells_all_characters_apart(spark):
     rows = spark.createDataFrame([(t,) for t in [*chars, *pairs]], "t string").select("t", line_dedup.lowered(F.col("t")).alias("l"))
     assert rows.agg(F.count_distinct("l")).first()[0] == len(set(chars) | set(pairs)) - 26
     assert rows.where("t between 'A' and 'Z' and length(t) = 1 and l <> lower(t)").count() == 0
+
+
+def test_line_dedup_shuffles_candidate_rows_once(spark):
+    import re
+
+    from textloom.llm import line_dedup as L
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = [[(2 << 56) + w for w in x] for x in ([1, 2, 3], [1, 2, 4], [5, 6, 7], [8, 6, 7])]
+        sets = spark.createDataFrame([(p, 20, 0, 0, 0, w) for p, w in enumerate(words)], "p long, n int, alone int, bits long, odd long, prefix array<long>")
+        df = L.candidates(sets, spark.createDataFrame([(0,)], "p long"), 80, 100)
+        assert sorted(tuple(r) for r in df.collect()) == [(1, 0), (3, 2)]
+        assert re.search(r"ReusedExchange.*hashpartitioning\(word", df._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -139,11 +139,15 @@ def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int)
     # the optimizer puts the table in place of the column that names it, so no row ever holds it
     looked_up = hashed.withColumn("scale", scale.select("scale").scalar()).select("p", F.array_distinct(F.transform("hashes", rank)).alias("ranked"))
     ranked = once(looked_up, "words", F.col("ranked")).select("p", "words")
-    n = F.size("words")
-    known = F.filter("words", lambda w: w >= 1 << 56)
-    large = F.when(n > LARGE, parities(F.filter(known, odd_half))).otherwise(F.lit(0).cast("long"))
+    n, zero = F.size("words"), F.lit(0).cast("long")
     length = n + F.floor(-n * num / den).cast("int") + 1
-    front = once(ranked.select("p", n.alias("n"), parities(known).alias("bits"), large.alias("odd"), F.slice(F.sort_array("words"), F.lit(1), length).alias("front")), "prefix", F.filter("front", lambda x: x >= (1 << 56)))
+    cut = once(ranked, "front", F.slice(F.sort_array("words"), F.lit(1), length))
+    # whose prefix no other line shares, meets nothing and needs no bitmap
+    some = F.element_at("front", -1) >= 1 << 56
+    known = F.filter("words", lambda w: w >= 1 << 56)
+    bits = F.when(some, parities(known)).otherwise(zero)
+    large = F.when(some & (n > LARGE), parities(F.filter(known, odd_half))).otherwise(zero)
+    front = once(cut.select("p", n.alias("n"), bits.alias("bits"), large.alias("odd"), "front"), "prefix", F.filter("front", lambda x: x >= (1 << 56)))
     return front.select("p", "n", (F.size("front") - F.size("prefix")).alias("alone"), "bits", "odd", "prefix")
 
 
@@ -168,15 +172,16 @@ def earliest(sets: DataFrame, num: int, den: int) -> DataFrame:
     the first word of its level of rarity in the prefix, levels being a factor of two apart, and the word after it.
     """
     level = lambda w: F.shiftright(w, 58)
-    pair = lambda w, i: F.when((i == 0) | (level(w) != level(F.get("prefix", i - 1))), F.xxhash64(w, F.get("prefix", i + 1)))
-    carried = ["p", "n", "alone", "bits", "odd"]
-    rows = sets.where(F.size("prefix") > 0).select(*carried, F.explode(F.transform("prefix", pair)).alias("key")).where("key is not null")
+    pair = lambda w, i: F.when((i == 0) | (level(w) != level(F.get("prefix", i - 1))), F.xxhash64(w, F.get("prefix", i + 1)).bitwiseAND(F.lit((1 << 40) - 1)))
+    carried = ["x", "bits", "odd"]
+    both = F.shiftleft(F.col("n").cast("long"), 32) + F.col("alone")  # in one number, to shuffle less
+    rows = sets.where(F.size("prefix") > 0).select("p", both.alias("x"), "bits", "odd", F.explode(F.transform("prefix", pair)).alias("key")).where("key is not null")
     first = [F.min_by(c, "p").alias(c + "a") for c in carried]
-    least = rows.groupBy("key", F.pmod(F.xxhash64("p"), F.lit(SLOTS)).alias("slot")).agg(*first).drop("slot")
-    met = rows.select("key", *(F.col(c).alias(c + "b") for c in carried)).join(least, "key").where("pa < pb")
-    a, b = ({c: F.col(c + side) for c in carried} for side in "ab")
-    different = a["alone"] + b["alone"] + apart(a["n"], b["n"], a["bits"].bitwiseXOR(b["bits"]), a["odd"].bitwiseXOR(b["odd"]))
-    return met.where(may_match(a["n"], b["n"], different, num, den)).select(b["p"].alias("b"), a["p"].alias("a")).distinct()
+    least = rows.groupBy("key", F.pmod(F.xxhash64("p"), F.lit(SLOTS)).alias("slot")).agg(F.min("p").alias("pa"), *first).drop("slot")
+    met = rows.select("key", *(F.col(c).alias(c + "b") for c in ("p", *carried))).join(least, "key").where("pa < pb")
+    n, alone = lambda s: F.shiftright("x" + s, 32), lambda s: F.col("x" + s).bitwiseAND(F.lit((1 << 32) - 1))
+    different = alone("a") + alone("b") + apart(n("a"), n("b"), F.col("bitsa").bitwiseXOR(F.col("bitsb")), F.col("odda").bitwiseXOR(F.col("oddb")))
+    return met.where(may_match(n("a"), n("b"), different, num, den)).select(F.col("pb").alias("b"), F.col("pa").alias("a")).distinct()
 
 
 def candidates(sets: DataFrame, settled: DataFrame, num: int, den: int) -> DataFrame:
@@ -193,15 +198,15 @@ def candidates(sets: DataFrame, settled: DataFrame, num: int, den: int) -> DataF
     front = place * (2 * num) <= F.col("n") * (den - num)
     # in one number, to shuffle less: 40 bits of the word's hash, and size, words counted, front and known
     x = F.shiftleft(F.col("n").cast("long"), 32) + 4 * (F.col("alone") + F.least("i", F.lit(COUNTED))) + 2 * front.cast("int") + F.col("known")
-    packed = rows.select("p", bits.alias("bits"), odd.alias("odd"), F.col("word").bitwiseAND(F.lit((1 << 40) - 1)).alias("word"), x.alias("x"), front.alias("front"))
-    half = packed.where("front")
+    packed = rows.select("p", bits.alias("bits"), odd.alias("odd"), F.col("word").bitwiseAND(F.lit((1 << 40) - 1)).alias("word"), x.alias("x"))
     side = lambda df, s: df.select("word", *(F.col(c).alias(c + s) for c in ("p", "bits", "odd", "x")))
     n, i = lambda s: F.shiftright("x" + s, 32), lambda s: F.shiftright(F.col("x" + s).bitwiseAND(F.lit((1 << 32) - 1)), 2)
     k, f = lambda s: F.col("x" + s).bitwiseAND(F.lit(1)), lambda s: F.col("x" + s).bitwiseAND(F.lit(2)) > 0
-    # two front words meet twice, once from either side
-    order = F.when(F.col("pa") < F.col("pb"), k("b")).when((F.col("pa") > F.col("pb")) & ~f("b"), k("a")).otherwise(1) == 0
+    # a has the front word; two front words meet twice, once from either side. Tested here and not before, so that both
+    # sides are the same rows and are shuffled once
+    order = F.when(~f("a"), 1).when(F.col("pa") < F.col("pb"), k("b")).when((F.col("pa") > F.col("pb")) & ~f("b"), k("a")).otherwise(1) == 0
     different = i("a") + i("b") + apart(n("a"), n("b"), F.col("bitsa").bitwiseXOR(F.col("bitsb")), F.col("odda").bitwiseXOR(F.col("oddb")))
-    met = side(half, "a").join(side(packed, "b"), "word").where(order & may_match(n("a"), n("b"), different, num, den))
+    met = side(packed, "a").join(side(packed, "b"), "word").where(order & may_match(n("a"), n("b"), different, num, den))
     return met.select(F.greatest("pa", "pb").alias("b"), F.least("pa", "pb").alias("a")).distinct()
 
 
