@@ -134,3 +134,25 @@ def test_maxima_and_ties(spark, monkeypatch, largest, block):
     assert sorted(tuple(r) for r in none) == [(i, False, 0.0, None, 0.0, None) for i, _ in left]
     twice = C.maxima(frames[0].union(frames[0]).selectExpr("id % 7 as id", "text"), frames[1]).collect()
     assert sorted((r.left_id, r.token) for r in twice) == [(m, max(w[2] for w in want if w[0] % 7 == m)) for m in range(7)]
+
+
+def test_all_filtered_makes_grams_once(monkeypatch):
+    left, right = (list(enumerate(x)) for x in texts())
+    refs = list(R.blocks(right, pa.int64(), True, "all_filtered"))
+    batches = pa.Table.from_pylist([{"id": i, "text": t} for i, t in left]).to_batches()
+    made, keys = [], R.gram_keys
+    monkeypatch.setattr(R, "gram_keys", lambda x: made.extend(x) or keys(x))
+    assert [r for x in refs for r in R.collisions(x, batches, True)]
+    assert len(made) == sum(bool(R.normalized(t)) for _, t in left)
+
+
+@pytest.mark.parametrize("variant", ["base", "tokens_filtered", "all_filtered"])
+def test_holds_from_within_words(variant):
+    rnd = random.Random(9)
+    whole = [" ".join(rnd.choices("the of and is alpha beta gamma delta than other lands x yz".split(), k=30)) for _ in range(40)]
+    cut = [t[a : a + rnd.randint(20, 60)] for t in whole for a in (0, rnd.randint(1, 40))] + ["theofandistheofandisth", "the of and is the of and", "he of and is the of an"]
+    for a, b in ((whole, cut), (cut, whole), ([*whole, *cut], [*cut, *whole])):
+        left, right = list(enumerate(a)), list(enumerate(b))
+        batches = pa.Table.from_pylist([{"id": i, "text": t} for i, t in left]).to_batches()
+        got = [tuple(r.values()) for refs in R.blocks(right, pa.int64(), True, variant) for x in R.collisions(refs, batches, True) for r in x.to_pylist()]
+        assert plain(got) == plain(brute(left, right, variant)[0])

@@ -30,23 +30,27 @@ _KEPT = bytes(b | 32 if 65 <= b <= 90 else b if chr(b).isalnum() and b < 128 els
 _SYMBOL = np.array([b - 47 if 48 <= b <= 57 else b - 86 if 97 <= b <= 122 else 0 for b in range(256)], np.int32)
 
 
-def normalized(text: str | None, nfkc: bool = True) -> bytes:
-    """What functions.text.normalize gives; no text gives an empty one."""
+def words_in(text: str | None, nfkc: bool = True) -> list[bytes]:
+    """The words of the normalized text, in order; no text has none."""
     if text is None:
-        return b""
+        return []
     if not text.isascii():
         text = (unicodedata.normalize("NFKC", text) if nfkc else text).lower()
-    return b" ".join(text.encode().translate(_KEPT).split())
+    return text.encode().translate(_KEPT).split()
 
 
-def words_of(norm: bytes, filtered: bool) -> set[bytes]:
-    words = set(norm.split())
-    return words - STOP if filtered else words
+def normalized(text: str | None, nfkc: bool = True) -> bytes:
+    """What functions.text.normalize gives; no text gives an empty one."""
+    return b" ".join(words_in(text, nfkc))
 
 
-def joined(norm: bytes, filtered: bool) -> bytes:
+def words_of(words: list[bytes], filtered: bool) -> set[bytes]:
+    return set(words) - STOP if filtered else set(words)
+
+
+def joined(words: list[bytes], filtered: bool) -> bytes:
     """The text that grams are taken from."""
-    return b"".join(w for w in norm.split() if w not in STOP) if filtered else norm.replace(b" ", b"")
+    return b"".join([w for w in words if w not in STOP] if filtered else words)
 
 
 def _groups(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
@@ -107,37 +111,37 @@ class Postings:
 
 
 class Words:
-    def __init__(self, norms: list[bytes], filtered: bool):
+    def __init__(self, texts: list[list[bytes]], filtered: bool):
         self.filtered = filtered
-        sets = [words_of(t, filtered) for t in norms]
+        sets = [words_of(t, filtered) for t in texts]
         self.number = {w: i for i, w in enumerate(sorted(set().union(*sets)))}
         pairs = sorted((self.number[w], i) for i, s in enumerate(sets) for w in s)
-        self.postings = Postings(np.array([e for e, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int64), len(norms))
+        self.postings = Postings(np.array([e for e, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int64), len(texts))
 
     @cached_property
     def known(self) -> set[bytes]:
         return set(self.number)
 
-    def found(self, norms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def found(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The size of each text's set; text and element of what the references have too, sorted by text."""
         size, shared, elements = [], [], []
-        for t in norms:
+        for t in texts:
             words = words_of(t, self.filtered)
             both = words & self.known
             size.append(len(words))
             shared.append(len(both))
             elements.extend(map(self.number.__getitem__, both))
-        return np.array(size, np.int64), np.repeat(np.arange(len(norms)), shared), np.array(elements, np.int64)
+        return np.array(size, np.int64), np.repeat(np.arange(len(texts)), shared), np.array(elements, np.int64)
 
 
 class Grams:
-    def __init__(self, norms: list[bytes], filtered: bool):
+    def __init__(self, texts: list[list[bytes]], filtered: bool):
         self.filtered = filtered
-        keys = gram_keys([joined(t, filtered) for t in norms])
+        keys = gram_keys([joined(t, filtered) for t in texts])
         code, ref = keys & ((1 << BITS) - 1), keys >> BITS
         order = np.argsort(code, kind="stable")
         self.codes, element = np.unique(code[order], return_inverse=True)
-        self.postings = Postings(element, ref[order], len(norms))
+        self.postings = Postings(element, ref[order], len(texts))
 
     @cached_property
     def maybe(self) -> np.ndarray:
@@ -145,9 +149,9 @@ class Grams:
         out[self.codes] = True
         return out
 
-    def found(self, norms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys = gram_keys([joined(t, self.filtered) for t in norms])
-        size = np.diff(np.searchsorted(keys, np.arange(len(norms) + 1) << BITS))
+    def found(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = gram_keys([joined(t, self.filtered) for t in texts])
+        size = np.diff(np.searchsorted(keys, np.arange(len(texts) + 1) << BITS))
         keys = keys[self.maybe[keys & ((1 << BITS) - 1)]]
         return size, keys >> BITS, np.searchsorted(self.codes, keys & ((1 << BITS) - 1))
 
@@ -160,23 +164,35 @@ def scores(o: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 class References:
     """One block of references (id, text), in the order of their places in the whole pool, from ``first`` on."""
 
-    def __init__(self, ids: pa.Array, norms: list[bytes], first: int, variant: str, similar: bool):
-        self.ids, self.norms, self.first = ids, norms, first
+    def __init__(self, ids: pa.Array, texts: list[list[bytes]], first: int, variant: str, similar: bool):
+        self.ids, self.norms, self.first = ids, [b" ".join(t) for t in texts], first
+        norms = self.norms
         self.length = np.array([len(t) for t in norms], np.int64)
         self.equal: dict[bytes, list[int]] = {}
         for i, t in enumerate(norms):
             self.equal.setdefault(t, []).append(i)
-        # what holds a text has all of its grams, if no words are left out
-        self.whole = Grams(norms, False)
-        self.words = Words(norms, variant != "base") if similar else None
-        self.grams = (Grams(norms, True) if variant == "all_filtered" else self.whole) if similar else None
-
-    def meet(self, norms: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
+        self.words = Words(texts, variant != "base") if similar else None
+        self.grams = Grams(texts, similar and variant == "all_filtered")
+        # what holds a text has all of its grams, if no words are left out, else all between its first and last word, which may begin or end within others
+        inner = [joined(t[1:-1], True) for t in texts] if self.grams.filtered else []
+        self.least = np.diff(np.searchsorted(gram_keys(inner), np.arange(len(texts) + 1) << BITS)) if inner else self.grams.postings.sizes
+        self.least[[i for i, t in enumerate(inner) if len(t) < GRAM]] = 0
+
+    def may_hold(self, length: np.ndarray, n: np.ndarray, o: np.ndarray, words: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """Pairs (text, reference) one of which may hold the other, by the texts' lengths and numbers of grams, the grams shared, and the same of words."""
+        long = (length[:, None] >= T.CONTAINMENT_MIN_CHARS) & (self.length >= T.CONTAINMENT_MIN_CHARS)
+        if not self.grams.filtered:
+            return np.argwhere(long & (length[:, None] != self.length) & ((o == n[:, None]) | (o == self.least)))
+        size, shared = words
+        held = (length[:, None] > self.length) & (o >= self.least) & (shared >= self.words.postings.sizes - 2)
+        return np.argwhere(long & (held | (length[:, None] < self.length) & (shared >= size[:, None] - 2)))
+
+    def meet(self, norms: list[bytes], texts: list[list[bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
         """By groups of texts: the first one's place, pairs (text in the group, reference) that are equal, and held, and the scores of words and of grams."""
         if not norms or not self.norms:
             return
-        metrics = [m for m in dict.fromkeys((self.whole, self.words, self.grams)) if m]
-        found = {m: m.found(norms) for m in metrics}
+        metrics = [m for m in (self.words, self.grams) if m]
+        found = {m: m.found(texts) for m in metrics}
         cost = np.full(len(norms), len(self.norms))
         for m, (_, text, element) in found.items():
             cost = np.maximum(cost, np.bincount(text, m.postings.met(element), len(norms)).astype(np.int64))
@@ -188,28 +204,27 @@ class References:
                 o[m] = m.postings.counts(text[lo:hi] - a, element[lo:hi], b - a)
             sizes = {m: found[m][0][a:b] for m in metrics}
             equal = [(i, j) for i in range(b - a) for j in self.equal.get(norms[a + i], ())]
-            n, whole = sizes[self.whole][:, None], o[self.whole]
-            long = (length[a:b, None] >= T.CONTAINMENT_MIN_CHARS) & (self.length >= T.CONTAINMENT_MIN_CHARS)
-            may = np.argwhere(long & (length[a:b, None] != self.length) & ((whole == n) | (whole == self.whole.postings.sizes)))
+            may = self.may_hold(length[a:b], sizes[self.grams], o[self.grams], (sizes[self.words], o[self.words]) if self.words else None)
             held = [(i, j) for i, j in may.tolist() if norms[a + i] in self.norms[j] or self.norms[j] in norms[a + i]]
-            similar = [scores(o[m], sizes[m], m.postings.sizes) for m in (self.words, self.grams) if m]
+            similar = [scores(o[m], sizes[m], m.postings.sizes) for m in metrics if self.words]
             yield a, np.array(equal, np.int64).reshape(-1, 2), np.array(held, np.int64).reshape(-1, 2), similar
 
 
-def chunks(batches: Iterable[pa.RecordBatch], nfkc: bool) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """ids and normalized texts of rows (id, text), so many at once."""
+def chunks(batches: Iterable[pa.RecordBatch], nfkc: bool) -> Iterator[tuple[pa.Array, list[list[bytes]]]]:
+    """ids and words of rows (id, text), so many at once."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a, b in _groups((len(t or "") + 64 for t in texts), CHUNK):
-            yield batch.column(0).slice(a, b - a), [normalized(t, nfkc) for t in texts[a:b]]
+            yield batch.column(0).slice(a, b - a), [words_in(t, nfkc) for t in texts[a:b]]
 
 
 def collisions(refs: References, batches: Iterable[pa.RecordBatch], nfkc: bool) -> Iterator[pa.RecordBatch]:
     """left_id, kind, right_id, score of texts that collide; equal and held ones alone without words and grams."""
     kinds = pa.array(KINDS)
-    for ids, norms in chunks(batches, nfkc):
-        some = [i for i, t in enumerate(norms) if t]
-        for at, equal, held, similar in refs.meet([norms[i] for i in some]):
+    for ids, texts in chunks(batches, nfkc):
+        some = [i for i, t in enumerate(texts) if t]
+        texts = [texts[i] for i in some]
+        for at, equal, held, similar in refs.meet([b" ".join(t) for t in texts], texts):
             pairs, kind, score = [equal, held], [np.full(len(equal), 0), np.full(len(held), 1)], [np.zeros(len(equal) + len(held))]
             for k, (s, least) in enumerate(zip(similar, (T.TOKEN_THRESHOLD, T.GRAM_THRESHOLD)), 2):
                 pairs.append(near := np.argwhere(s >= least))
@@ -223,11 +238,12 @@ def collisions(refs: References, batches: Iterable[pa.RecordBatch], nfkc: bool)
 
 def best(refs: References, batches: Iterable[pa.RecordBatch], nfkc: bool, largest_label: bool) -> Iterator[pa.RecordBatch]:
     """Of every text left_id, fatal (any collision), and the score, place and right_id of the best reference by words and by grams, null without any."""
-    for ids, norms in chunks(batches, nfkc):
-        some = np.array([i for i, t in enumerate(norms) if t], np.int64)
-        fatal, top = np.zeros(len(norms), bool), np.zeros((2, len(norms)))
-        where = np.full((2, len(norms)), -1)
-        for at, equal, held, similar in refs.meet([norms[i] for i in some]):
+    for ids, texts in chunks(batches, nfkc):
+        some = np.array([i for i, t in enumerate(texts) if t], np.int64)
+        fatal, top = np.zeros(len(texts), bool), np.zeros((2, len(texts)))
+        where = np.full((2, len(texts)), -1)
+        texts = [texts[i] for i in some]
+        for at, equal, held, similar in refs.meet([b" ".join(t) for t in texts], texts):
             rows = some[at : at + len(similar[0])]
             fatal[rows[equal[:, 0]]] = fatal[rows[held[:, 0]]] = True
             for k, (s, least) in enumerate(zip(similar, (T.TOKEN_THRESHOLD, T.GRAM_THRESHOLD))):
@@ -245,14 +261,14 @@ def best(refs: References, batches: Iterable[pa.RecordBatch], nfkc: bool, larges
 
 def blocks(rows: Iterable[tuple], id_type: pa.DataType, nfkc: bool, variant: str = "base", similar: bool = True) -> Iterator[References]:
     """The pool (id, text) by blocks, one at least; texts that normalize to nothing are left out."""
-    ids, norms, held, first = [], [], 0, 0
+    ids, texts, held, first = [], [], 0, 0
     for i, text in rows:
-        if t := normalized(text, nfkc):
+        if t := words_in(text, nfkc):
             ids.append(i)
-            norms.append(t)
-            held += len(t)
+            texts.append(t)
+            held += sum(map(len, t)) + len(t) - 1
         if held >= BLOCK:
-            yield References(pa.array(ids, id_type), norms, first, variant, similar)
-            first, ids, norms, held = first + len(ids), [], [], 0
+            yield References(pa.array(ids, id_type), texts, first, variant, similar)
+            first, ids, texts, held = first + len(ids), [], [], 0
     if ids or not first:
-        yield References(pa.array(ids, id_type), norms, first, variant, similar)
+        yield References(pa.array(ids, id_type), texts, first, variant, similar)
