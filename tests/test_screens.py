@@ -156,3 +156,22 @@ def test_holds_from_within_words(variant):
         batches = pa.Table.from_pylist([{"id": i, "text": t} for i, t in left]).to_batches()
         got = [tuple(r.values()) for refs in R.blocks(right, pa.int64(), True, variant) for x in R.collisions(refs, batches, True) for r in x.to_pylist()]
         assert plain(got) == plain(brute(left, right, variant)[0])
+
+
+def test_grams_of_short_and_long_pieces(monkeypatch):
+    some = [b"", b"a", b"ab", b"", b"abcd", b"abcde", b"abcdef", b"", b"zzzzzzzz", b""]
+    want = sorted((i, t[k : k + 5]) for i, t in enumerate(some) if t for k in range(max(1, len(t) - 4)))
+    for chunk in (1, 3, 100):
+        monkeypatch.setattr(R, "CHUNK", chunk)
+        keys = R.gram_keys(some)
+        assert [k >> R.BITS for k in keys.tolist()] == [i for i, _ in sorted(set(want))] and len(R.gram_keys([b"", b""])) == 0
+
+
+@pytest.mark.parametrize("variant", ["tokens_filtered", "all_filtered"])
+def test_words_of_texts_are_split_once(monkeypatch, variant):
+    left, right = (list(enumerate(x)) for x in texts())
+    refs = list(R.blocks(right, pa.int64(), True, variant))
+    batches = pa.Table.from_pylist([{"id": i, "text": t} for i, t in left]).to_batches()
+    seen, words_in = [], R.words_in
+    monkeypatch.setattr(R, "words_in", lambda *x: seen.append(x) or words_in(*x))
+    assert [r for x in refs for r in R.collisions(x, batches, True)] and len(seen) == len(left)

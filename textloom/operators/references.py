@@ -45,7 +45,10 @@ def normalized(text: str | None, nfkc: bool = True) -> bytes:
 
 
 def words_of(words: list[bytes], filtered: bool) -> set[bytes]:
-    return set(words) - STOP if filtered else set(words)
+    out = set(words)
+    if filtered:
+        out -= STOP
+    return out
 
 
 def joined(words: list[bytes], filtered: bool) -> bytes:
@@ -71,17 +74,21 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 
 def _keys(pieces: list[tuple[int, bytes]]) -> np.ndarray:
-    size = np.array([len(t) for _, t in pieces], np.int64)
-    s = _SYMBOL[np.frombuffer(b"".join(t + b" " * (GRAM - 1) for _, t in pieces), np.uint8)]
+    # a shorter piece is one gram, filled up by what no text has
+    filled = [t if len(t) >= GRAM or not t else t + b" " * (GRAM - len(t)) for _, t in pieces]
+    size = np.array([len(t) for t in filled], np.int64)
+    s = _SYMBOL[np.frombuffer(b"".join(filled), np.uint8)]
+    if not len(s):
+        return np.zeros(0, np.int64)
     code = s[: len(s) - GRAM + 1].copy()
     for k in range(1, GRAM):
         code *= 37
         code += s[k : len(s) - GRAM + 1 + k]
-    valid = (s[: len(code)] > 0) & (s[GRAM - 1 :] > 0)
-    begin = np.cumsum(size + GRAM - 1) - size - GRAM + 1
-    valid[begin[(size > 0) & (size < GRAM)]] = True
-    owner = np.repeat(np.array([i for i, _ in pieces], np.int64) << BITS, size + GRAM - 1)[: len(code)]
-    return _distinct(owner[valid] + code[valid])
+    end = np.cumsum(size)[size > 0]
+    between = (end[:-1, None] - np.arange(1, GRAM)).ravel()  # grams that begin in one piece and end in the next
+    owner = np.repeat(np.array([i for i, _ in pieces], np.int64) << BITS, np.maximum(0, size - GRAM + 1))
+    owner += np.delete(code, between)
+    return _distinct(owner)
 
 
 def gram_keys(texts: list[bytes]) -> np.ndarray:
