@@ -408,3 +408,25 @@ def test_line_dedup_shuffles_candidate_rows_once(spark):
         assert re.search(r"ReusedExchange.*hashpartitioning\(word", df._jdf.queryExecution().executedPlan().toString())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_line_dedup_of_neighbours_shuffles_no_bitmaps(spark):
+    import re
+
+    from textloom.llm import line_dedup as L
+
+    rows = [(0, 20, 0, 0, 0, [7, 8]), (1, 20, 0, 3, 0, [8]), (2, 20, 0, 0, 0, [9, 7]), (3, 20, 0, 2**60 - 1, 0, [7]), (4, 30, 0, 0, 0, [8]), (5, 20, 5, 0, 0, [9]), (6, 20, 0, 0, 0, [])]
+    sets = spark.createDataFrame(rows, "p long, n int, alone int, bits long, odd long, neighbours array<long>")
+    df = L.earliest(sets, 80, 100)
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 0), (2, 0)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and not re.search(r"(keys|functions)=\[[^]]*bits", plan)
+
+
+def test_line_dedup_keeps_words_short(spark):
+    from textloom.llm import line_dedup as L
+
+    texts = spark.createDataFrame([(i, " ".join(f"w{i % 3}x{k}" for k in range(30))) for i in range(6)], "p long, raw string")
+    sets = L.prefixes(texts, L.rarity(texts, 1 << 16), 1 << 16, 80, 100).collect()
+    assert all(r.prefix and r.neighbours and max(*r.prefix, *r.neighbours) < 1 << 40 for r in sets)
+    assert all(a.neighbours == b.neighbours for a in sets for b in sets if a.p % 3 == b.p % 3)

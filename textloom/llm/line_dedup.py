@@ -44,6 +44,8 @@ PART = 1 << 12
 LARGE = 64
 #: So many words before a word of a prefix are taken out of its bitmap and counted.
 COUNTED = 8
+#: Of the hashes of words and of pairs of words so many bits are shuffled.
+SHORT = (1 << 40) - 1
 #: So many of the vertices with a common pair are compared with all others of them.
 SLOTS = 8
 OTHER_SPACE = "\t\x0b\x0c\r"
@@ -89,12 +91,12 @@ def vertices(spark: SparkSession, index: DataFrame) -> DataFrame:
 
 
 def vertex_texts(docs: DataFrame, vertex: DataFrame) -> DataFrame:
-    """p and raw, the line itself, of each vertex."""
+    """p, bytes and raw, the line itself, of each vertex."""
     wanted = vertex.groupBy("key", "row").agg(F.collect_list(F.struct("line", "p")).alias("wanted"))
     texts = docs.where(F.col("text").isNotNull()).select(id_key().alias("key"), text_hash().alias("row"), "text").dropDuplicates(["key", "row"])
     both = once(texts.join(wanted, ["key", "row"]).select("wanted", "text"), "lines", F.split(plain(F.col("text")), "\n"))
     found = F.transform("wanted", lambda x: F.struct(x["p"].alias("p"), F.get("lines", x["line"]).alias("raw")))
-    return both.select(F.explode(found).alias("x")).select("x.p", "x.raw")
+    return both.select(F.explode(found).alias("x")).select("x.p", F.octet_length("x.raw").alias("bytes"), "x.raw")
 
 
 def counters(words: int) -> int:
@@ -130,7 +132,7 @@ def odd_half(word: Column) -> Column:
 
 
 def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """p, n, alone, bits, odd, prefix of each vertex; bits, odd: the bitmap of its words but for those counted once; alone: how many words of its prefix, the first ones, no other line has; prefix: the others.
+    """p, n, alone, bits, odd, neighbours, prefix of each vertex; bits, odd: the bitmap of its words but for those counted once; alone: how many words of its prefix, the first ones, no other line has; prefix: 40 bits of the others' hashes; neighbours: as many of pairs of them.
 
     A word stands here as its rarity in the highest byte and its hash below, so that plain numbers sort by rarity.
     """
@@ -148,7 +150,11 @@ def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int)
     bits = F.when(some, parities(known)).otherwise(zero)
     large = F.when(some & (n > LARGE), parities(F.filter(known, odd_half))).otherwise(zero)
     front = once(cut.select("p", n.alias("n"), bits.alias("bits"), large.alias("odd"), "front"), "prefix", F.filter("front", lambda x: x >= (1 << 56)))
-    return front.select("p", "n", (F.size("front") - F.size("prefix")).alias("alone"), "bits", "odd", "prefix")
+    # the first word of each level of rarity, levels being a factor of two apart, and the word after it
+    level = lambda w: F.shiftright(w, 58)
+    pair = lambda w, i: F.when((i == 0) | (level(w) != level(F.get("prefix", i - 1))), F.xxhash64(w, F.get("prefix", i + 1)).bitwiseAND(F.lit(SHORT)))
+    neighbours, short = F.array_compact(F.transform("prefix", pair)), F.transform("prefix", lambda w: w.bitwiseAND(F.lit(SHORT)))
+    return front.select("p", "n", (F.size("front") - F.size("prefix")).alias("alone"), "bits", "odd", neighbours.alias("neighbours"), short.alias("prefix"))
 
 
 def apart(na: Column, nb: Column, bits: Column, odd: Column) -> Column:
@@ -168,20 +174,17 @@ def may_match(na: Column, nb: Column, different: Column, num: int, den: int) ->
 def earliest(sets: DataFrame, num: int, den: int) -> DataFrame:
     """b, a: vertices, and the earliest, of each of SLOTS, of those that share two neighbouring words of their prefixes with them.
 
-    The words that set one copy apart from others are mostly rarer than those that all of a group have. So a pair is
-    the first word of its level of rarity in the prefix, levels being a factor of two apart, and the word after it.
+    The words that set one copy apart from others are mostly rarer than those that all of a group have, so there is a
+    pair for each level of rarity.
     """
-    level = lambda w: F.shiftright(w, 58)
-    pair = lambda w, i: F.when((i == 0) | (level(w) != level(F.get("prefix", i - 1))), F.xxhash64(w, F.get("prefix", i + 1)).bitwiseAND(F.lit((1 << 40) - 1)))
-    carried = ["x", "bits", "odd"]
-    both = F.shiftleft(F.col("n").cast("long"), 32) + F.col("alone")  # in one number, to shuffle less
-    rows = sets.where(F.size("prefix") > 0).select("p", both.alias("x"), "bits", "odd", F.explode(F.transform("prefix", pair)).alias("key")).where("key is not null")
-    first = [F.min_by(c, "p").alias(c + "a") for c in carried]
-    least = rows.groupBy("key", F.pmod(F.xxhash64("p"), F.lit(SLOTS)).alias("slot")).agg(F.min("p").alias("pa"), *first).drop("slot")
-    met = rows.select("key", *(F.col(c).alias(c + "b") for c in ("p", *carried))).join(least, "key").where("pa < pb")
-    n, alone = lambda s: F.shiftright("x" + s, 32), lambda s: F.col("x" + s).bitwiseAND(F.lit((1 << 32) - 1))
-    different = alone("a") + alone("b") + apart(n("a"), n("b"), F.col("bitsa").bitwiseXOR(F.col("bitsb")), F.col("odda").bitwiseXOR(F.col("oddb")))
-    return met.where(may_match(n("a"), n("b"), different, num, den)).select(F.col("pb").alias("b"), F.col("pa").alias("a")).distinct()
+    rows = sets.select("p", F.explode("neighbours").alias("key"))
+    least = rows.groupBy("key", F.pmod(F.xxhash64("p"), F.lit(SLOTS)).alias("slot")).agg(F.min("p").alias("a")).drop("slot")
+    met = rows.select("key", F.col("p").alias("b")).join(least, "key").where("a < b").select("b", "a").distinct()
+    # sizes and bitmaps come to the few that met, so that no row of a pair of words carries them
+    of = lambda s: sets.select("p", "n", "alone", "bits", "odd").toDF(s, *(c + s for c in ("n", "alone", "bits", "odd")))
+    both = met.join(of("a"), "a").join(of("b"), "b")
+    different = F.col("alonea") + F.col("aloneb") + apart(F.col("na"), F.col("nb"), F.col("bitsa").bitwiseXOR(F.col("bitsb")), F.col("odda").bitwiseXOR(F.col("oddb")))
+    return both.where(may_match(F.col("na"), F.col("nb"), different, num, den)).select("b", "a")
 
 
 def candidates(sets: DataFrame, settled: DataFrame, num: int, den: int) -> DataFrame:
@@ -198,7 +201,7 @@ def candidates(sets: DataFrame, settled: DataFrame, num: int, den: int) -> DataF
     front = place * (2 * num) <= F.col("n") * (den - num)
     # in one number, to shuffle less: 40 bits of the word's hash, and size, words counted, front and known
     x = F.shiftleft(F.col("n").cast("long"), 32) + 4 * (F.col("alone") + F.least("i", F.lit(COUNTED))) + 2 * front.cast("int") + F.col("known")
-    packed = rows.select("p", bits.alias("bits"), odd.alias("odd"), F.col("word").bitwiseAND(F.lit((1 << 40) - 1)).alias("word"), x.alias("x"))
+    packed = rows.select("p", bits.alias("bits"), odd.alias("odd"), "word", x.alias("x"))
     side = lambda df, s: df.select("word", *(F.col(c).alias(c + s) for c in ("p", "bits", "odd", "x")))
     n, i = lambda s: F.shiftright("x" + s, 32), lambda s: F.shiftright(F.col("x" + s).bitwiseAND(F.lit((1 << 32) - 1)), 2)
     k, f = lambda s: F.col("x" + s).bitwiseAND(F.lit(1)), lambda s: F.col("x" + s).bitwiseAND(F.lit(2)) > 0
@@ -218,7 +221,7 @@ def matching(spark: SparkSession, texts: DataFrame, pairs: DataFrame, num: int,
     size = counters(16 * 16 * pairs.count())
     at = lambda c: bucket(F.xxhash64(c), size)
     sieve = materialize(spark, table(wanted.select(at("p").alias("b")), size, F.least("n", F.lit(1))), "sieve")
-    passed = texts.where(F.get(sieve.select("scale").scalar(), at("p")) > 0)
+    passed = texts.select("p", "raw").where(F.get(sieve.select("scale").scalar(), at("p")) > 0)
     fetched = materialize(spark, passed.join(wanted, "p"), "sets")
     sets = fetched.select("p", F.array_distinct(words_in(F.col("raw"))).alias("w"))
     both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
@@ -234,7 +237,7 @@ def later_lines(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int =
     index = materialize(spark, lines_of(docs), "index")
     vertex = vertices(spark, index)
     texts = materialize(spark, vertex_texts(docs, vertex), "texts")
-    size = counters((texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // 8)
+    size = counters((texts.agg(F.sum("bytes")).first()[0] or 0) // 8)
     scale = materialize(spark, rarity(texts, size), "scale")
     sets = materialize(spark, prefixes(texts, scale, size, num, den), "prefixes")
     settled = matching(spark, texts, earliest(sets, num, den), num, den)
