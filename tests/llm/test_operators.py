@@ -430,3 +430,13 @@ def test_line_dedup_keeps_words_short(spark):
     sets = L.prefixes(texts, L.rarity(texts, 1 << 16), 1 << 16, 80, 100).collect()
     assert all(r.prefix and r.neighbours and max(*r.prefix, *r.neighbours) < 1 << 40 for r in sets)
     assert all(a.neighbours == b.neighbours for a in sets for b in sets if a.p % 3 == b.p % 3)
+
+
+def test_line_dedup_of_chance_pairs_compares_each_vertex_once(spark):
+    """Forty vertices with one pair of words in common, and copies that share two."""
+    rows = [(p, 20, 0, 0, 0, [7, 100 + p]) for p in range(40)] + [(50 + p, 20, 0, 0, 0, [8, 9, 200 + p]) for p in range(10)]
+    sets = spark.createDataFrame(rows, "p long, n int, alone int, bits long, odd long, neighbours array<long>")
+    pairs = sorted(tuple(r) for r in line_dedup.earliest(sets, 80, 100).collect())
+    assert [x for x in pairs if x[0] < 50] == [(p, 0) for p in range(1, 40)]
+    copies = [x for x in pairs if x[0] > 49]
+    assert {b for b, a in copies if a == 50} == set(range(51, 60)) and len(copies) > 9

@@ -12,7 +12,8 @@ Plan
    the prefix: so many of the rarest words that two similar sets share one there. Words counted once are in one line
    only; they count as positions but are not dealt out.
 4. ``earliest``: vertices that share two neighbouring words of their prefixes are compared with the earliest of them.
-   This settles copies with small changes, in groups of any size, at a few comparisons each.
+   This settles copies with small changes, in groups of any size, at a few comparisons each. Copies mostly share several
+   such pairs; with what shares just one, mostly by chance, a vertex is compared once at most, and only for want of others.
 5. ``candidates``: what is not settled meets all earlier vertices that share a prefix word. Let i and j be the places
    of the first word that two similar sets share: the i + j words before it are not shared, so i + j is at most the
    number of words in which similar sets of these sizes differ, and the smaller place is at most half of that. So only
@@ -30,7 +31,7 @@ names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, drop_path, id_key, materialize, text_hash, unused
@@ -175,11 +176,17 @@ def earliest(sets: DataFrame, num: int, den: int) -> DataFrame:
     """b, a: vertices, and the earliest, of each of SLOTS, of those that share two neighbouring words of their prefixes with them.
 
     The words that set one copy apart from others are mostly rarer than those that all of a group have, so there is a
-    pair for each level of rarity.
+    pair for each level of rarity. Vertices that share one pair only have met by chance for the most part, and more of
+    them do the larger the table: of a vertex that shares two with none, the one by the rarest pair stays. What isn't
+    settled then is left to ``candidates``.
     """
-    rows = sets.select("p", F.explode("neighbours").alias("key"))
+    rows = sets.select("p", F.posexplode("neighbours").alias("i", "key"))
     least = rows.groupBy("key", F.pmod(F.xxhash64("p"), F.lit(SLOTS)).alias("slot")).agg(F.min("p").alias("a")).drop("slot")
-    met = rows.select("key", F.col("p").alias("b")).join(least, "key").where("a < b").select("b", "a").distinct()
+    met = rows.select("key", F.col("p").alias("b"), "i").join(least, "key").where("a < b").select("b", "a", "i")
+    # all rows of a vertex come together before they are counted, so that they are shuffled once
+    counted = met.repartition("b").groupBy("b", "a").agg(F.count("*").alias("shared"), F.min("i").alias("i"))
+    turn = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "i", "a"))
+    met = counted.select("b", "a", "shared", turn.alias("turn")).where("shared > 1 or turn = 1").select("b", "a")
     # sizes and bitmaps come to the few that met, so that no row of a pair of words carries them
     of = lambda s: sets.select("p", "n", "alone", "bits", "odd").toDF(s, *(c + s for c in ("n", "alone", "bits", "odd")))
     both = met.join(of("a"), "a").join(of("b"), "b")
