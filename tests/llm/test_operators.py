@@ -440,3 +440,25 @@ def test_line_dedup_of_chance_pairs_compares_each_vertex_once(spark):
     assert [x for x in pairs if x[0] < 50] == [(p, 0) for p in range(1, 40)]
     copies = [x for x in pairs if x[0] > 49]
     assert {b for b, a in copies if a == 50} == set(range(51, 60)) and len(copies) > 9
+
+
+def test_token_chunks_are_encoded_together(monkeypatch):
+    """New chunks go many in one text, capitals with small letters; ids are those of whole texts in every odd case."""
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_path(token_output.TOKENIZER)
+    odd = ["H\u0331 h\u0331 A\u0300 J\u030c", "a\x01b \x01 \x01\x01 c", "<|ENDOFTEXT|> <|endoftext|>a Abc", "ABC abc aBC's ABC'S", "", None, "É é İ ẞ ß Σ ς\u00a0x", "\u0331a \u0308 A"]
+    texts = [*odd, *(words(40).title() for _ in range(30)), *odd]
+    whole = Tokenizer.from_file(path)
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for places in (token_output.PLACES, 4):  # with four places nearly all chunks push each other out
+        monkeypatch.setattr(token_output, "PLACES", places)
+        enc = token_output.ChunkEncoder(path, 2)
+        for some in (texts, *([t] for t in texts), texts):
+            ids, limits = enc.encode(pa.array(some, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(limits[:-1], limits[1:], strict=True)] == (want if len(some) > 1 else [want[texts.index(some[0])]])
+    enc = token_output.ChunkEncoder(path, 2)
+    calls = []
+    enc.tok = type("Counted", (), {"encode_batch_fast": lambda self, x, **k: calls.append(len(x)) or whole.encode_batch_fast(x, **k)})()
+    enc.encode(pa.array(["Word wOrd word x" + " y".join(map(str, range(50)))]))
+    assert calls == [1] and len(enc.size) == 1 + 51
