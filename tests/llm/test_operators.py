@@ -442,6 +442,25 @@ def test_line_dedup_of_chance_pairs_compares_each_vertex_once(spark):
     assert {b for b, a in copies if a == 50} == set(range(51, 60)) and len(copies) > 9
 
 
+def test_line_dedup_of_single_pairs_compares_the_closest(spark):
+    rows = [(p, 20, 0, 0 if p % 2 else 3, 0, [7, 100 + p]) for p in range(16)] + [(40, 20, 0, 0, 0, [7, 140])]
+    sets = spark.createDataFrame(rows, "p long, n int, alone int, bits long, odd long, neighbours array<long>")
+    assert [r.a % 2 for r in line_dedup.earliest(sets, 80, 100).where("b = 40").collect()] == [1]
+
+
+def test_line_dedup_of_neighbours_parts_sizes(spark):
+    """A pair of words in lines of 22 and 44 words is chance; copies of two kinds of sizes are found all the same."""
+    lines = [" ".join(["x", "y", *(f"c{k}" for k in range(n - 2))]) for n in (22, 23, 44)] + [" ".join(f"c{k}" for k in range(44))] * 6
+    texts = spark.createDataFrame(list(enumerate(lines)), "p long, raw string")
+    a, b, c = (set(r.neighbours) for r in line_dedup.prefixes(texts, line_dedup.rarity(texts, 1 << 16), 1 << 16, 80, 100).where("p < 3").orderBy("p").collect())
+    assert a & b and not a & c
+    near = words(21, [f"e{i}" for i in range(10000)]).split()
+    rows = [*enumerate(lines), (20, " ".join(near[:20])), (21, " ".join(near)), (22, " ".join(near[1:]))]
+    found = line_dedup.brute_texts(rows)
+    assert sum(k == [] for _, k in found) == 9
+    same([(r.doc_id, r.text) for r in line_dedup.remove_lines(spark, frame(spark, rows)).collect()], [(i, "\n".join(k)) for (i, _), (_, k) in zip(rows, found, strict=True)])
+
+
 def test_token_chunks_are_encoded_together(monkeypatch):
     """New chunks go many in one text, capitals with small letters; ids are those of whole texts in every odd case."""
     from tokenizers import Tokenizer

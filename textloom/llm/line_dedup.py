@@ -11,9 +11,10 @@ Plan
 3. ``prefixes``: a vertex's words in order, rarest first. Kept are its size, a bitmap of parities of its words, and
    the prefix: so many of the rarest words that two similar sets share one there. Words counted once are in one line
    only; they count as positions but are not dealt out.
-4. ``earliest``: vertices that share two neighbouring words of their prefixes are compared with the earliest of them.
-   This settles copies with small changes, in groups of any size, at a few comparisons each. Copies mostly share several
-   such pairs; with what shares just one, mostly by chance, a vertex is compared once at most, and only for want of others.
+4. ``earliest``: vertices that share two neighbouring words of their prefixes, and are of about the same size, are
+   compared with the earliest of them. This settles copies with small changes, in groups of any size, at a few
+   comparisons each. Copies mostly share several such pairs; of what shares just one, mostly by chance, a vertex is
+   compared with the closest by its bitmap at most.
 5. ``candidates``: what is not settled meets all earlier vertices that share a prefix word. Let i and j be the places
    of the first word that two similar sets share: the i + j words before it are not shared, so i + j is at most the
    number of words in which similar sets of these sizes differ, and the smaller place is at most half of that. So only
@@ -49,6 +50,8 @@ COUNTED = 8
 SHORT = (1 << 40) - 1
 #: So many of the vertices with a common pair are compared with all others of them.
 SLOTS = 8
+#: Kinds of sizes within a factor of two; only vertices of one kind meet by a pair of words.
+KINDS = 3
 OTHER_SPACE = "\t\x0b\x0c\r"
 
 
@@ -133,7 +136,7 @@ def odd_half(word: Column) -> Column:
 
 
 def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """p, n, alone, bits, odd, neighbours, prefix of each vertex; bits, odd: the bitmap of its words but for those counted once; alone: how many words of its prefix, the first ones, no other line has; prefix: 40 bits of the others' hashes; neighbours: as many of pairs of them.
+    """p, n, alone, bits, odd, neighbours, prefix of each vertex; bits, odd: the bitmap of its words but for those counted once; alone: how many words of its prefix, the first ones, no other line has; prefix: 40 bits of the others' hashes; neighbours: as many of pairs of them, with the kind of the set's size.
 
     A word stands here as its rarity in the highest byte and its hash below, so that plain numbers sort by rarity.
     """
@@ -150,10 +153,12 @@ def prefixes(texts: DataFrame, scale: DataFrame, size: int, num: int, den: int)
     known = F.filter("words", lambda w: w >= 1 << 56)
     bits = F.when(some, parities(known)).otherwise(zero)
     large = F.when(some & (n > LARGE), parities(F.filter(known, odd_half))).otherwise(zero)
-    front = once(cut.select("p", n.alias("n"), bits.alias("bits"), large.alias("odd"), "front"), "prefix", F.filter("front", lambda x: x >= (1 << 56)))
+    # near copies mostly have sizes of one kind, what shares a pair of words by chance has any size
+    kind = F.floor(F.log2(n) * KINDS)
+    front = once(cut.select("p", n.alias("n"), bits.alias("bits"), large.alias("odd"), kind.alias("kind"), "front"), "prefix", F.filter("front", lambda x: x >= (1 << 56)))
     # the first word of each level of rarity, levels being a factor of two apart, and the word after it
     level = lambda w: F.shiftright(w, 58)
-    pair = lambda w, i: F.when((i == 0) | (level(w) != level(F.get("prefix", i - 1))), F.xxhash64(w, F.get("prefix", i + 1)).bitwiseAND(F.lit(SHORT)))
+    pair = lambda w, i: F.when((i == 0) | (level(w) != level(F.get("prefix", i - 1))), F.xxhash64(w, F.get("prefix", i + 1), "kind").bitwiseAND(F.lit(SHORT)))
     neighbours, short = F.array_compact(F.transform("prefix", pair)), F.transform("prefix", lambda w: w.bitwiseAND(F.lit(SHORT)))
     return front.select("p", "n", (F.size("front") - F.size("prefix")).alias("alone"), "bits", "odd", neighbours.alias("neighbours"), short.alias("prefix"))
 
@@ -177,21 +182,21 @@ def earliest(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     The words that set one copy apart from others are mostly rarer than those that all of a group have, so there is a
     pair for each level of rarity. Vertices that share one pair only have met by chance for the most part, and more of
-    them do the larger the table: of a vertex that shares two with none, the one by the rarest pair stays. What isn't
-    settled then is left to ``candidates``.
+    them do the larger the table: of these, a vertex keeps the one whose bitmap is the closest, as in a group of copies
+    that differ much one of the earliest is near enough mostly, but not each. What isn't settled then, such as copies
+    whose sizes are of two kinds, is left to ``candidates``.
     """
     rows = sets.select("p", F.posexplode("neighbours").alias("i", "key"))
     least = rows.groupBy("key", F.pmod(F.xxhash64("p"), F.lit(SLOTS)).alias("slot")).agg(F.min("p").alias("a")).drop("slot")
     met = rows.select("key", F.col("p").alias("b"), "i").join(least, "key").where("a < b").select("b", "a", "i")
-    # all rows of a vertex come together before they are counted, so that they are shuffled once
     counted = met.repartition("b").groupBy("b", "a").agg(F.count("*").alias("shared"), F.min("i").alias("i"))
-    turn = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "i", "a"))
-    met = counted.select("b", "a", "shared", turn.alias("turn")).where("shared > 1 or turn = 1").select("b", "a")
     # sizes and bitmaps come to the few that met, so that no row of a pair of words carries them
     of = lambda s: sets.select("p", "n", "alone", "bits", "odd").toDF(s, *(c + s for c in ("n", "alone", "bits", "odd")))
-    both = met.join(of("a"), "a").join(of("b"), "b")
+    both = counted.join(of("b"), "b").join(of("a"), "a")
     different = F.col("alonea") + F.col("aloneb") + apart(F.col("na"), F.col("nb"), F.col("bitsa").bitwiseXOR(F.col("bitsb")), F.col("odda").bitwiseXOR(F.col("oddb")))
-    return both.where(may_match(F.col("na"), F.col("nb"), different, num, den)).select("b", "a")
+    near = both.where(may_match(F.col("na"), F.col("nb"), different, num, den)).select("b", "a", "shared", "i", different.alias("different"))
+    turn = F.row_number().over(Window.partitionBy("b").orderBy("different", F.desc("shared"), "i", "a"))
+    return near.select("b", "a", "shared", turn.alias("turn")).where("shared > 1 or turn = 1").select("b", "a")
 
 
 def candidates(sets: DataFrame, settled: DataFrame, num: int, den: int) -> DataFrame:
