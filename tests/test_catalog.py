@@ -130,3 +130,24 @@ def test_base_plus_delta_takes_the_size_of_its_base(spark, tmp_path):
     spark.createDataFrame(list(enumerate(delta)), "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
     got = entry.queries()["base_plus_delta"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {(4, "missing"), (5, "different"), (11, "different")}
+
+
+def test_pool_fingerprint_gathers_no_source(spark, tmp_path):
+    """Like the SQL over many batches, with null texts, sources and a source of null texts only; no row holds a source."""
+    docs = [(i, None if i % 7 == 0 else "" if i % 11 == 0 else f"Text {i * 37 % 101}, No. {i % 5}!", [None, "a", "a", "a", "b"][i % 5]) for i in range(200)]
+    docs += [(200, None, "c"), (201, None, "c"), (202, "", "d"), (203, None, "e"), (204, "x", "e"), (205, "", "e")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(catalog.SQL["pool_fingerprint"]).fetchall()
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "3")
+    try:
+        df = entry.queries()["pool_fingerprint"](spark, str(tmp_path))
+        assert sorted(map(tuple, df.select("source", "n", "content_sha256").collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set(rows, before)
+    assert ("c", 2, None) in want and len(want) == 6
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Aggregate" not in plan

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,6 +145,40 @@ def sorted_content(rows: DataFrame, text: str) -> tuple[int, str]:
     return n, h.hexdigest()
 
 
+def sorted_contents(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n and content_sha256 of each key: how many rows, and the hash of their texts, sorted and joined by a line feed; null if it has none.
+
+    A hash takes its bytes in order, so a key is hashed by one task, text after text as they come from a sort that spills;
+    only the hash's state is kept, and keys of any size fit.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, at, n, h = None, None, 0, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(at, kind), pa.array([n], pa.int64()), pa.array([h and h.hexdigest()], pa.string())], names=[key, "n", "content_sha256"])
+
+        for b in batches:
+            kind = b.column(0).type
+            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if [k] != at:
+                    if at is not None:
+                        yield done()
+                    at, n, h = [k], 0, None
+                n += 1
+                if t.is_valid:
+                    if h is None:
+                        h = hashlib.sha256()
+                    else:
+                        h.update(b"\n")
+                    h.update(t.as_buffer())
+        if at is not None:
+            yield done()
+
+    in_order = rows.select(key, text).repartition(key).sortWithinPartitions(key, text)
+    return in_order.mapInArrow(fold, f"`{key}` {dict(in_order.dtypes)[key]}, n long, content_sha256 string")
+
+
 def split_conditions(split: str) -> list[tuple[str, Column]]:
     """The ten conditions, in order, for the use of a manifest entry in ``split``; columns w, confirmed, d, a, split and uses."""
     use = lambda name: F.col(f"uses.{name}")
